@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -33,8 +34,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs before the next job needs the disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees Python's handles, whose release reaches the JVM a moment later
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -68,7 +71,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 class Scatter:
-    """Gathers numpy columns and deals them to buckets as few wide rows (kind, bucket, n, blob): column after column."""
+    """Gathers numpy columns and deals them to buckets as few wide rows (kind, bucket, n, blob): column after column, integers
+    as byte planes, whose upper ones hardly vary and compress well."""
 
     SCHEMA = "kind int, bucket int, n long, blob binary"
     ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
@@ -97,20 +101,30 @@ class Scatter:
         cols = [c[order] for c in cols[1:]]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
         ends = np.append(cuts[1:], len(bucket))
-        blobs = [b"".join(c[i:j].tobytes() for c in cols) for i, j in zip(cuts, ends)]
+        blobs = [b"".join(planes(c[i:j]) for c in cols) for i, j in zip(cuts, ends)]
         if blobs:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(cuts), self.kind, np.int32)), pa.array(bucket[cuts]), pa.array((ends - cuts).astype(np.int64)), pa.array(blobs, pa.binary())], schema=self.ARROW
             )
 
 
+def planes(c: np.ndarray) -> bytes:
+    return c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() if c.dtype.kind in "iu" and c.itemsize > 1 else c.tobytes()
+
+
+def from_planes(blob: bytes, dtype: np.dtype, n: int, at: int) -> np.ndarray:
+    if dtype.kind in "iu" and dtype.itemsize > 1:
+        return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n).T).view(dtype).reshape(n)
+    return np.frombuffer(blob, dtype, n, at)
+
+
 def unpack(blobs: list[tuple[int, bytes]], dtypes: list) -> list[np.ndarray]:
     """The columns of blobs that Scatter wrote."""
     out: list[list[np.ndarray]] = [[] for _ in dtypes]
     for n, blob in blobs:
         at = 0
         for k, d in enumerate(dtypes):
-            out[k].append(np.frombuffer(blob, d, n, at))
+            out[k].append(from_planes(blob, np.dtype(d), n, at))
             at += n * np.dtype(d).itemsize
     return [np.concatenate(x) if x else np.zeros(0, d) for x, d in zip(out, dtypes)]
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scatter, U, buckets_for, materialise, mix, prefix_hash, release_shuffles, slices, span_hash, unpack
@@ -37,10 +37,10 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 WIDEST = SPAN - 1 + LENGTH  # bytes in a segment
 _PIECE = 1 << 22
 _PLACE = U((1 << 24) - 1)
-SEGMENT = ["<u4", "<u8", "<i8", "<u4", "<u2", "u1"]  # anchor, class, doc, start, text tag, windows
+SEGMENT = ["<u4", "<u4", "<u2", "<i8", "<u4", "<u2", "u1"]  # anchor, class (48 bits), doc, start, text tag, windows
 MARK = ["<i8", "<u2", "<u4", "<u4"]  # doc, text tag, start, bytes
-REQUEST = ["<i8", "<u2", "<u4", "u1", "<u8", "u1"]  # doc, text tag, start, windows, group, crowded
-STRING = ["<u8", "<i8", "<u2", "<u4", "u1", f"V{WIDEST}"]  # group, doc, text tag, start, windows, bytes
+REQUEST = ["<i8", "<u2", "<u4", "u1", "<u8", "<u8", "u1"]  # doc, text tag, start, windows, group, class, crowded
+STRING = ["<u8", "<u8", "<i8", "<u2", "<u4", "u1", f"V{WIDEST}"]  # group, class, doc, text tag, start, windows, bytes
 
 # ---------------------------------------------------------------- anchors and segments
 
@@ -78,6 +78,14 @@ def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
     return ((h ^ (h >> U(32))).view(np.int64) % n).astype(np.int32)
 
 
+def repeats(key: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """Whether a row's doc is not the smallest of its key."""
+    order, _, least = first_of_class(key, doc)
+    out = np.zeros(len(doc), bool)
+    out[order] = doc[order] > least
+    return out
+
+
 def first_of_class(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by key, then doc; whether each row of it starts a class of equal key; the class's smallest doc."""
     order = np.lexsort((doc, *key[::-1]))
@@ -103,17 +111,15 @@ def meet_segments(docs: DataFrame, n: int) -> DataFrame:
         marks = Scatter(1, n, MARK)
 
         def combine(cols):
-            order, _, least = first_of_class([cols[1], cols[2]], cols[3])
-            cols = [c[order] for c in cols]
-            later = cols[3] > least
-            mark(marks, cols[3][later], cols[5][later], cols[4][later], cols[6][later].astype(np.uint32) + LENGTH - 1, n)
+            later = repeats(cols[1:4], cols[4])
+            mark(marks, cols[4][later], cols[6][later], cols[5][later], cols[7][later].astype(np.uint32) + LENGTH - 1, n)
             return [c[~later] for c in cols]
 
         out = Scatter(0, n, SEGMENT, combine=combine)
         for b in slices(batches, 64):
             for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist()):
                 anchor, name, at, size = segments(np.frombuffer((text or "").encode(), np.uint8))
-                out.add((anchor % U(n)).astype(np.int32), anchor >> U(32), name, np.full(len(at), doc, np.int64), at, np.full(len(at), tag), size)
+                out.add((anchor % U(n)).astype(np.int32), anchor >> U(32), name >> U(32), name & U(0xFFFF), np.full(len(at), doc, np.int64), at, np.full(len(at), tag), size)
                 if out.full():
                     yield from out.flush()
                     yield from marks.flush()
@@ -126,7 +132,8 @@ def meet_segments(docs: DataFrame, n: int) -> DataFrame:
         for x in blobs[1]:
             doc, tag, at, size = unpack([x], MARK)
             marks.add(bucket_of(doc, n), doc, tag, at, size)
-        anchor, name, doc, at, tag, size = unpack(blobs[0], SEGMENT)
+        anchor, high, low, doc, at, tag, size = unpack(blobs[0], SEGMENT)
+        name = high.astype(U) << U(16) | low
         order, new, least = first_of_class([anchor, name], doc)
         anchor, name, doc, at, tag, size = (x[order] for x in (anchor, name, doc, at, tag, size))
         later = doc > least
@@ -134,10 +141,12 @@ def meet_segments(docs: DataFrame, n: int) -> DataFrame:
         if len(anchor):
             group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
             number = np.cumsum(group) - 1
+            start = np.flatnonzero(group)
             classes = np.bincount(number[new])[number]
-            ask = ~later & (classes > 1)
+            several = (np.minimum.reduceat(least, start) < np.maximum.reduceat(least, start))[number]
+            ask = ~later & several  # classes of one document cannot remove each other
             where = mix(anchor[ask].astype(U))  # anchors that differ only in the bits the bucket tells may share a shard
-            requests.add(bucket_of(doc[ask], n), doc[ask], tag[ask], at[ask], size[ask], where, (classes[ask] > CROWD).astype(np.uint8))
+            requests.add(bucket_of(doc[ask], n), doc[ask], tag[ask], at[ask], size[ask], where, name[ask], (classes[ask] > CROWD).astype(np.uint8))
         yield from marks.flush()
         yield from requests.flush()
 
@@ -155,74 +164,99 @@ def mark(marks: Scatter, doc, tag, at, size, n: int) -> None:
 class RunLengthIndex:
     """Over strings of bytes, each of a document: the run-length compressed Burrows-Wheeler transform with samples.
 
-    head, start, base: symbol, first row and LF image of each run of equal symbols. run, sample: the first row of each run of
-    suffixes that agree on their first `length` bytes, and the smallest document of that run."""
+    start, base: first row and LF image of each run of equal symbols. run, end, sample: first row, end and smallest document
+    of each run of several suffixes that agree on their first `length` bytes. entry: the row of each string's last window,
+    where its stream starts."""
 
     def __init__(self, rows: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int = LENGTH):
         """rows: (strings, widest) uint8, of which the first size bytes count."""
         self.length, self.size, self.doc = length, size.astype(np.int64), doc
         width = rows.shape[1]
-        used = np.arange(width + 1)[None, :] < self.size[:, None] + 1  # with an end mark, 0
+        used = np.arange(width + 1)[None, :] <= self.size[:, None]  # with an end mark, 0
         symbol = np.zeros((len(rows), width + 1), np.uint16)
-        symbol[:, :width] = rows.astype(np.uint16) + 1
+        symbol[:, :width] = rows
+        symbol[:, :width] += 1
         symbol[np.arange(len(rows)), self.size] = 0
         text = symbol[used]
-        left = (self.size[:, None] - np.arange(width + 1)[None, :])[used]  # bytes up to the end mark
-        owner = np.repeat(np.arange(len(rows)), self.size + 1)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), self.size + 1)
+        first = np.cumsum(self.size + 1) - self.size - 1
+        left = (first + self.size)[owner] - np.arange(len(text))  # bytes up to the end mark
         order, alike = self.suffixes(text, left)
-        before = np.where(left[order] == self.size[owner[order]], 0, text[order - 1])
-        new = np.concatenate(([True], before[1:] != before[:-1]))
-        self.start = np.flatnonzero(new)
-        self.head = before[self.start]
-        run_size = np.diff(np.append(self.start, len(before)))
-        by = np.argsort(self.head, kind="stable")
+        before = text[order - 1]
+        before[np.isin(order, first)] = 0
+        self.start = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        head, run_size = before[self.start], np.diff(np.append(self.start, len(before)))
+        by = np.argsort(head, kind="stable")
         self.base = np.empty(len(by), np.int64)
         self.base[by] = np.cumsum(run_size[by]) - run_size[by]
-        self.run = np.flatnonzero(~alike)
-        self.sample = np.minimum.reduceat(doc[owner[order]], self.run)
+        run = np.flatnonzero(~alike)
+        end = np.append(run[1:], len(alike))
+        several = end - run > 1
+        self.run, self.end = run[several], end[several]
+        self.sample = np.minimum.reduceat(doc[owner[order]], run)[several] if len(run) else doc[:0]
+        row = np.empty(len(order), np.int64)
+        row[order] = np.arange(len(order))
+        self.entry = row[first + np.maximum(self.size - length, 0)]
 
     def suffixes(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix array, equal suffixes in the order of their strings; whether each suffix agrees with the one before on
-        `length` bytes. Prefix doubling from 7 symbols on."""
-        n = len(text)
+        `length` bytes. Prefix doubling from four symbols on, each round over the suffixes that still tie; a suffix whose end
+        mark has been compared ties no more. Up to 2**21 symbols, rank pairs and places share one sorted word."""
+        n, places = len(text), np.arange(len(text))
+        alike, small, one, two = np.zeros(n, bool), n <= 1 << 21, None, None
+
+        def ordered(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if small:
+                packed = np.sort(key << U(21) | at.astype(U))
+                return packed >> U(21), (packed & U((1 << 21) - 1)).astype(np.int64)
+            by = np.argsort(key, kind="stable")
+            return key[by], at[by]
+
         key = np.zeros(n, U)
-        ahead = np.concatenate((text, np.zeros(7, text.dtype)))
-        for k in range(7):
+        ahead = np.concatenate((text, np.zeros(4, text.dtype)))
+        for k in range(4):
             key = (key << U(9)) | np.where(left >= k, ahead[k : k + n], 0).astype(U)
-        known, alike, longest = 7, np.zeros(n, bool), int(left.max()) + 1
+        key, order = ordered(key, places)
+        rank, slots, known = np.empty(n, np.int64), places, 4
+        part = order  # the suffixes of this round, in order; slots: their rows
         while True:
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            if known < self.length <= 2 * known:
-                later = np.where(left >= self.length - known, rank[np.minimum(np.arange(n) + self.length - known, n - 1)], 0)
-                first, second = rank.copy(), later
-            elif known == self.length:
-                first = second = rank.copy()
-            if known >= longest:
+            new = np.ones(len(part), bool)
+            new[1:] = key[1:] != key[:-1]
+            new |= left[part] < known
+            heads = np.flatnonzero(new)
+            rank[part] = np.repeat(slots[heads], np.diff(np.append(heads, len(part))))
+            if known <= self.length <= 2 * known:
+                one = rank.copy()
+                two = one[np.minimum(places + self.length - known, n - 1)]
+            tie = ~new
+            tie[:-1] |= ~new[1:]
+            part, slots = part[tie], slots[tie]
+            if not len(part):
                 break
-            follow = np.where(left >= known, rank[np.minimum(np.arange(n) + known, n - 1)], 0)
-            key = (rank.astype(U) << U(32)) | follow.astype(U)
+            key, part = ordered((rank[part].astype(U) << U(21 if small else 32)) | rank[part + known].astype(U), part)
+            order[slots] = part
             known *= 2
-        a, b = order[1:], order[:-1]
-        alike[1:] = (first[a] == first[b]) & (second[a] == second[b]) & (left[a] >= self.length) & (left[b] >= self.length)
+        if one is not None:  # else all suffixes differ before that
+            a, b = order[1:], order[:-1]
+            alike[1:] = (one[a] == one[b]) & (two[a] == two[b]) & (left[a] >= self.length) & (left[b] >= self.length)
         return order, alike
 
     def stream(self) -> np.ndarray:
-        """(strings, widest) bool: where a match of `length` bytes with an earlier document starts."""
+        """(strings, widest) bool: where a match of `length` bytes with an earlier document starts. All strings step back
+        from their last window at once."""
+        windows = np.maximum(self.size - self.length + 1, 0)
         out = np.zeros((len(self.size), int(self.size.max(initial=0)) + 1), bool)
-        row = np.arange(len(self.size))  # of the end marks, which come first, in the order of the strings
-        active = np.flatnonzero(self.size > 0)
-        for step in range(1, int(self.size.max(initial=0)) + 1):
-            active = active[self.size[active] >= step]
-            q = row[active]
-            run = np.searchsorted(self.start, q, "right") - 1
-            q = self.base[run] + q - self.start[run]
-            row[active] = q
-            if step >= self.length:
-                sample = self.sample[np.searchsorted(self.run, q, "right") - 1]
-                out[active, self.size[active] - step] = sample < self.doc[active]
+        active = np.flatnonzero(windows > 0)
+        row = self.entry[active]
+        for step in range(int(windows.max(initial=0))):
+            if step:
+                going = windows[active] > step
+                active, row = active[going], row[going]
+                run = np.searchsorted(self.start, row, "right") - 1
+                row = self.base[run] + row - self.start[run]
+            if len(self.run):
+                at = np.searchsorted(self.run, row, "right") - 1
+                out[active, windows[active] - 1 - step] = (at >= 0) & (row < self.end[at]) & (self.sample[at] < self.doc[active])
         return out
 
 
@@ -268,10 +302,8 @@ def answer(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFrame:
 
         def combine(cols):
             """Equal strings of a group: the first document's stand for all."""
-            order, _, least = first_of_class([cols[1], cols[5], cols[6].view("V%d" % WIDEST).view(f"S{WIDEST}")], cols[2])
-            cols = [c[order] for c in cols]
-            later = cols[2] > least
-            mark(marks, cols[2][later], cols[3][later], cols[4][later], cols[5][later].astype(np.uint32) + LENGTH - 1, n)
+            later = repeats([cols[1], cols[2], cols[6]], cols[3])
+            mark(marks, cols[3][later], cols[4][later], cols[5][later], cols[6][later].astype(np.uint32) + LENGTH - 1, n)
             return [c[~later] for c in cols]
 
         out = Scatter(0, shards, STRING, combine=combine)
@@ -281,7 +313,7 @@ def answer(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFrame:
                 for doc, tag, text in zip(t.column("doc_id").to_pylist(), t.column("tag").to_pylist(), t.column("text").to_pylist()):
                     if doc is None:
                         continue
-                    at, size, group, crowded = concerns.of(doc, tag)
+                    at, size, group, name, crowded = concerns.of(doc, tag)
                     if not len(at):
                         continue
                     a = np.concatenate((np.frombuffer(text.encode(), np.uint8), np.zeros(WIDEST, np.uint8)))
@@ -291,11 +323,11 @@ def answer(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFrame:
                         one = np.repeat(at[crowded], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                         c = prefix_hash(a[one.min() : one.max() + LENGTH])
                         whole = span_hash(c, one - one.min(), one - one.min() + LENGTH)
-                        at, size, group = (np.concatenate((x[~crowded], y)) for x, y in ((at, one), (size, np.ones(len(one), np.int64)), (group, whole)))
+                        at, size, group, name = (np.concatenate((x[~crowded], y)) for x, y in ((at, one), (size, np.ones(len(one), np.int64)), (group, whole), (name, whole)))
                     for k in range(0, len(at), 1 << 14):
-                        s, z, g = at[k : k + (1 << 14)], size[k : k + (1 << 14)], group[k : k + (1 << 14)]
+                        s, z, g, c = (x[k : k + (1 << 14)] for x in (at, size, group, name))
                         rows = np.where(np.arange(WIDEST)[None, :] < (z + LENGTH - 1)[:, None], a[s[:, None] + np.arange(WIDEST)], 0).astype(np.uint8)
-                        out.add((g % U(shards)).astype(np.int32), g, np.full(len(s), doc, np.int64), np.full(len(s), tag), s, z, rows.view(f"V{WIDEST}").reshape(-1))
+                        out.add((g % U(shards)).astype(np.int32), g, c, np.full(len(s), doc, np.int64), np.full(len(s), tag), s, z, rows.view(f"V{WIDEST}").reshape(-1))
                         if out.full():
                             yield from out.flush()
                             yield from marks.flush()
@@ -308,10 +340,15 @@ def answer(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFrame:
         for x in blobs[1]:
             doc, tag, at, size = unpack([x], MARK)
             mark(marks, doc, tag, at, size, n)
-        _, doc, tag, at, size, rows = unpack(blobs[0], STRING)
+        group, name, doc, tag, at, size, rows = unpack(blobs[0], STRING)
         if len(doc):
-            flags = RunLengthIndex(rows.view(np.uint8).reshape(len(doc), WIDEST), size.astype(np.int64) + LENGTH - 1, doc).stream()
-            which, first, count = runs(flags)
+            order = np.lexsort((doc, size, name, group))  # a class that a document holds several times is one string
+            same = np.zeros(len(doc), bool)
+            same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (doc, size, name, group)], axis=0)
+            one = order[~same]
+            flags = RunLengthIndex(rows[one].view(np.uint8).reshape(len(one), WIDEST), size[one].astype(np.int64) + LENGTH - 1, doc[one]).stream()
+            doc, tag, at = doc[order], tag[order], at[order]
+            which, first, count = runs(flags[np.cumsum(~same) - 1])
             mark(marks, doc[which], tag[which], at[which].astype(np.int64) + first, count + LENGTH - 1, n)
         yield from marks.flush()
 
@@ -349,8 +386,16 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, text; the tag tells texts of one doc_id apart."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), "text")
+    return own.select("doc_id", tag_of(docs).alias("tag"), "text")
+
+
+def tag_of(docs: DataFrame) -> Column:
+    """16 bits of the text's hash where some doc_id repeats, else 0, which costs nothing to carry."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
+        return F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.lit(0)
 
 
 def marks_of(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -361,7 +406,7 @@ def marks_of(docs: DataFrame) -> tuple[DataFrame, int]:
     asked = found.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     if not asked:
         return found.where("kind = 1"), n
-    shards = max(n, asked * WIDEST // (3 << 20) + 1)
+    shards = max(n, asked * WIDEST // (3 << 19) + 1)
     more = materialise(answer(docs, found, n, shards), "matches")
     release_shuffles(spark)
     return found.where("kind = 1").unionByName(more), n
@@ -399,7 +444,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     goes with it."""
     schema = docs.schema
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(1).alias("__gf")).alias("__gf_rest"), F.col("doc_id").alias("__gf_doc"))
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs).alias("tag"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(1).alias("__gf")).alias("__gf_rest"), F.col("doc_id").alias("__gf_doc"))
     marks, n = marks_of(prepared(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
