@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import Scatter, U, buckets_for, keyed, materialise, mix, slices, unpack
 from .components import components
+from .fingerprints import BINS, BITS, bins_of
 
 WORDS, SEED, RADIUS, BLOCK, HOT_KEYS = 4, 42, 4, 4096, 100_000
+NEAR_WORDS, NEAR_RADIUS, SIMILARITY, MOST_PARTS = 5, 13, 0.8, 6
 PAIR_COST = 0.02  # of comparing two fingerprints, in probed rows
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ENTRY = ["<u8", "<u8", "u1"]
@@ -50,15 +52,19 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, text_hash, fp (long: the 64 bits) of each row; docs: doc_id, text."""
+def fingerprints(docs: DataFrame, words: int = WORDS, signed: bool = False) -> DataFrame:
+    """doc_id, text_hash, fp (long: the 64 bits) of each row, and, if signed, the MinHash signature; docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fps = np.array([simhash(t, words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
+            texts = b.column("text").to_pylist()
+            fps = np.array([simhash(t, words) for t in texts], np.uint64)
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))]
+            more = [pa.array([bins_of(t or "").tobytes() for t in texts], pa.binary())] if signed else []
+            yield pa.RecordBatch.from_arrays(cols + more, ["doc_id", "text_hash", "fp", "signature"][: 3 + signed])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
+    schema = "doc_id long, text_hash long, fp long" + ", signature binary" * signed
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- the plan: parts and thresholds
@@ -120,7 +126,7 @@ def plan(fps: DataFrame, n: int, radius: int = RADIUS) -> list[tuple[int, int]]:
     both = bit_counts(fps)
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
-    choices = {m: parts_of(both, n, m) for m in range(2, radius + 2)}
+    choices = {m: parts_of(both, n, m) for m in range(2, min(radius + 1, MOST_PARTS) + 1)}
     flat = [(m, i, sum(1 << b for b in bits)) for m, parts in choices.items() for i, bits in enumerate(parts)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("value")) for k, (_, _, mask) in enumerate(flat)])).alias("x")
@@ -168,8 +174,32 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def links_of(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between entries of equal key, at least one of each pair a stored one, that differ in 1 to radius bits."""
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a spanning forest of smallest distances: for every t, paths of distances up to t stay paths."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    order = np.lexsort((at[len(a) :], at[: len(a)], np.bitwise_count(a ^ b)))
+    x, y = at[: len(a)][order], at[len(a) :][order]
+    label, kept, e = np.arange(len(nodes)), [], np.arange(len(x))
+    while True:
+        e = e[label[x[e]] != label[y[e]]]
+        if not len(e):
+            break
+        best = np.full(len(nodes), len(x))
+        np.minimum.at(best, label[x[e]], e)
+        np.minimum.at(best, label[y[e]], e)
+        pick = np.unique(best[best < len(x)])  # each component's first edge to another
+        kept.append(pick)
+        child, root = forest(label[x[pick]], label[y[pick]])
+        to = np.arange(len(nodes))
+        to[child] = root
+        label = to[label]
+    pick = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return nodes[x[pick]], nodes[y[pick]]
+
+
+def links_of(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int, reduce=forest, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between entries of equal key, at least one of each pair a stored one, that differ in 1 to radius bits; reduce
+    bounds them by the number of entries."""
     order = np.lexsort((probe, key))
     key, fp, probe = key[order], fp[order], probe[order]
     if not len(key):
@@ -194,12 +224,12 @@ def links_of(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int, ch
             hit = (d > 0) & (d <= radius)
             left, right = np.concatenate((left, a[hit])), np.concatenate((right, b[hit]))
         if len(left) > 1 << 20:
-            left, right = forest(left, right)
+            left, right = reduce(left, right)
         i = j
-    return forest(left, right) if len(left) else (left, right)
+    return reduce(left, right) if len(left) else (left, right)
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, n: int, radius: int = RADIUS, reduce=forest) -> DataFrame:
     """(a, b): for every pair of distinct fingerprints within radius a path of such pairs. fps: distinct fp."""
     spark = fps.sparkSession
     parts = plan(fps, n, radius)
@@ -248,7 +278,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in zip(b.column("n").to_pylist(), b.column("blob").to_pylist())]
-        a, b = links_of(*unpack(blobs, ENTRY), radius)
+        a, b = links_of(*unpack(blobs, ENTRY), radius, reduce)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -279,20 +309,41 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows, with all their columns, that stay: of each component the one with the smallest doc_id (null: largest), then
-    the smallest text hash; of rows alike in both any one."""
+def verified(edges: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose fingerprints' signatures are alike enough. signatures: fp, signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            chance = 2.0**-BITS
+            alike = ((x == y).mean(1) - chance) / (1 - chance) >= similarity
+            yield b.select(["a", "b"]).filter(pa.array(alike))
+
+    x = signatures.select(F.col("fp").alias("a"), F.col("signature").alias("x"))
+    y = signatures.select(F.col("fp").alias("b"), F.col("signature").alias("y"))
+    return edges.distinct().join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows, with all their columns, that stay: of each group of near-copies the one with the smallest doc_id (null:
+    largest), then the smallest text hash; of rows alike in both any one.
+
+    Texts of equal fingerprint are near-copies. So are those whose fingerprints differ in at most radius bits and whose
+    shingle sets are similar, by their MinHash signatures; of the pairs within radius those that span them with the smallest
+    distances are verified. A radius of 13 of 64 bits finds about nine in ten pairs of similarity 0.8, more above."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(fingerprints(own, words), "simhash")
-    distinct = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    distinct = materialise(distinct, "fingerprints")
+    rows = materialise(fingerprints(own, words, signed=True), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "signature")).alias("first")
+    distinct = materialise(rows.groupBy("fp").agg(first).select("fp", F.col("first").dropFields("signature").alias("first"), "first.signature"), "fingerprints")
     n = distinct.count()
     if not n:
         return docs
-    nodes = components(links(distinct.select("fp"), n)).withColumnRenamed("node", "fp")
-    root = distinct.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stays = root.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
-    stays = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).join(stays.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    edges = materialise(links(distinct.select("fp"), n, radius, spanning), "near-links")
+    nodes = components(verified(edges, distinct, similarity)).withColumnRenamed("node", "fp")
+    root = distinct.select("fp", "first").join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stays = root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
+    copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    stays = copies.join(stays, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     stays = materialise(stays.select(F.col("d").alias("__gf_doc"), F.col("h").alias("__gf_hash"), F.col("copies").alias("__gf_copies")), "stays")
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("__gf_doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__gf_hash"))
     kept = docs.join(stays.where("__gf_copies = 1"), on, "left_semi")

@@ -20,7 +20,7 @@ from .common import ALNUM, U, keyed, word_hashes
 from .features import bucket, learnable, sample, score_rows
 
 BITS, STEM, SAMPLE, EPOCHS, THRESHOLD = 20, 5, 16000, 3, 0.5
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
