@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scatter, U, buckets_for, materialise, mix, powers, release_shuffles, slices, span_hash, unpack
 
-MAX_SHARE = 0.2
+MAX_SHARE, WANTED = 0.2, 1 << 18
 _CODE = U(0xD6E8FEB86659FD93)
 HALF = ["<u8", "<u8"]
 VARIANT = ["<u8", "<u8", "<u8"]
@@ -165,7 +165,12 @@ def same_doc(a: DataFrame, b: DataFrame) -> Column:
 def strings(docs: DataFrame, places: DataFrame) -> DataFrame:
     """line, first, string of each class in places (line, first): taken from its earliest document."""
     per_doc = places.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list(F.struct("first.number", "line")).alias("wanted"))
-    met = docs.join(per_doc, same_doc(docs, per_doc)).dropDuplicates(["d", "h"]).select("text", "wanted")
+    # few documents are wanted while lines rarely share a half: a set of at most WANTED slots, whatever the input, tells most
+    # of the others before their texts are shuffled
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(WANTED))
+    slots = per_doc.select(slot("d", "h").alias("slot")).distinct()
+    some = docs.withColumn("slot", slot("doc_id", "text_hash")).join(F.broadcast(slots), "slot", "left_semi")
+    met = some.join(per_doc, same_doc(some, per_doc)).dropDuplicates(["d", "h"]).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

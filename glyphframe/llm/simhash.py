@@ -301,7 +301,8 @@ def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_hash, fp, component_id of each row."""
     rows = materialise(fingerprints(docs, words), "simhash")
-    return rows.join(classes(rows, radius), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    # the classes on their own, so that a fingerprint of very many rows is split as a skewed join
+    return rows.join(materialise(classes(rows, radius), "components"), "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
