@@ -7,17 +7,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .kernels import visual_to_logical
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition, for which Spark has no function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def inverse_bidi(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else visual_to_logical(t))
 
@@ -95,17 +96,30 @@ def log_probability(values: Column, index: Column) -> Column:
     return F.element_at(values, index + 1) - top - F.ln(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once; written into a lambda, it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ctc_keep(ids: Column, blank: Column | int) -> Column:
     """Positions from 0 of the emitted frames: those unlike the frame before (blank or not) that are not blank."""
-    places = F.sequence(F.lit(0), F.size(ids) - 1)
-    kept = F.filter(places, lambda i: (F.get(ids, i) != blank) & ((i == 0) | (F.get(ids, i) != F.get(ids, i - 1))))
-    return F.when(F.size(ids) > 0, kept).otherwise(F.array().cast("array<int>"))
+
+    def places(own: Column) -> Column:
+        at = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: (F.get(own, i) != blank) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
+
+    return let(ids, places)
 
 
 def trimmed_places(places: Column, is_space: Column) -> Column:
     """Emissions without the white space at their ends; is_space: by frame."""
-    solid = F.filter(places, lambda i: ~F.get(is_space, i))
-    return F.filter(places, lambda i: (i >= F.array_min(solid)) & (i <= F.array_max(solid)))
+
+    def within(s: Column) -> Column:
+        solid = F.filter(s["places"], lambda i: ~F.get(s["space"], i))
+        ends = F.struct(F.array_min(solid).alias("lo"), F.array_max(solid).alias("hi"))
+        return let(ends, lambda e: F.filter(s["places"], lambda i: (i >= e["lo"]) & (i <= e["hi"])))
+
+    return let(F.struct(places.alias("places"), is_space.alias("space")), within)
 
 
 def confidence(log_sum: Column, tokens: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import error_code
+from ..storage import materialise
 
 
 def items(requests: DataFrame, result: Column, failure: Column, message: Column, index: Column) -> DataFrame:
@@ -81,11 +82,11 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def needed(resources: DataFrame, roots: DataFrame, rounds: int = 16) -> DataFrame:
     """(name): the roots and all that they need, over resources (name, needs); a chain longer than rounds is an error."""
-    found = roots.select("name").distinct()
+    found = fresh = materialise(roots.select("name").distinct(), "needed")
     edges = resources.select("name", F.explode("needs").alias("need"))
     for _ in range(rounds):
-        more = edges.join(found, "name", "left_semi").select(F.col("need").alias("name")).join(found, "name", "left_anti").distinct()
-        if not more.head(1):
+        fresh = materialise(edges.join(fresh, "name", "left_semi").select(F.col("need").alias("name")).join(found, "name", "left_anti").distinct(), "needed")
+        if not fresh.head(1):
             return found
-        found = found.union(more)
+        found = found.union(fresh)
     raise ValueError("invalid package: dependencies too deep")

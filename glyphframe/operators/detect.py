@@ -46,16 +46,14 @@ def group_scores(cells_: DataFrame, key: str, least: float = LINE_THRESHOLD) ->
 def rectangles(points: DataFrame, key: list[str]) -> DataFrame:
     """The smallest rectangle around each group's points (x, y), of the least area at least. A group's distinct points meet
     in one task: they are one text line's."""
-    fields = points.select(*key).schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = minimum_rectangle(pdf[["x", "y"]].to_numpy())
-        row = {k: pdf[k].iloc[0] for k in key}
-        return pd.DataFrame([{**row, **{f"{c}{i}": q[i][j] for i in range(4) for j, c in enumerate("xy")}}])
+    @F.pandas_udf("array<double>")
+    def corners(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([minimum_rectangle(np.column_stack([x, y])).reshape(-1) for x, y in zip(xs, ys)])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c}{i} double" for i in range(4) for c in "xy")])
-    found = points.select(*key, "x", "y").distinct().groupBy(*key).applyInPandas(run, schema)
-    quad = F.array(*[G.point(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)])
+    sets = points.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("p"))
+    found = sets.select(*key, corners(F.transform("p", lambda p: p["x"]), F.transform("p", lambda p: p["y"])).alias("c"))
+    quad = F.array(*[G.point(F.get("c", F.lit(2 * i)), F.get("c", F.lit(2 * i + 1))) for i in range(4)])
     return found.select(*key, quad.alias("quad")).where(G.polygon_area(F.col("quad")) >= LEAST_AREA)
 
 

@@ -33,19 +33,17 @@ def is_rtl(lines: DataFrame, page: str, script: str = "script") -> DataFrame:
 
 
 def in_reading_order(boxes: DataFrame, page: str, key: str, rtl: str | None = None) -> DataFrame:
-    """(page, key, position): recursive cuts need a page's boxes together; pages are bounded by the region limit."""
-    types = dict(boxes.dtypes)
-    rtl_col = F.col(rtl) if rtl else F.lit(False)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        b = pdf[["x", "y", "width", "height"]].to_numpy(float)
-        order = reading_order(np.column_stack([b[:, 0], b[:, 1], b[:, 0] + b[:, 2], b[:, 1] + b[:, 3]]), bool(pdf["rtl"].iloc[0]))
-        return pd.DataFrame({"page": pdf["page"].to_numpy()[order], "k": pdf["k"].to_numpy()[order], "position": np.arange(len(order), dtype="int32")})
-
-    rows = boxes.select(F.col(page).alias("page"), F.col(key).alias("k"), "x", "y", "width", "height", rtl_col.alias("rtl"))
-    got = rows.groupBy("page").applyInPandas(run, f"page {types[page]}, k {types[key]}, position int")
-    return got.select(F.col("page").alias(page), F.col("k").alias(key), "position")
+    """(page, key, position): recursive cuts need a page's boxes together, as arrays of one row; pages are bounded by the
+    region limit."""
+    @F.pandas_udf("array<int>")
+    def order(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, turn: pd.Series) -> pd.Series:
+        return pd.Series([np.array(reading_order(np.column_stack([a, b, a + c, b + d]), bool(t)), np.int32) for a, b, c, d, t in zip(x, y, w, h, turn)])
+
+    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "x", "y", "width", "height")))
+    pages = boxes.groupBy(page).agg(rows.alias("rows"), F.max(F.col(rtl) if rtl else F.lit(False)).alias("turn"))
+    field = lambda c: F.transform("rows", lambda r: r[c].cast("double"))
+    pages = pages.select(page, F.transform("rows", lambda r: r["k"]).alias("ks"), order(field("x"), field("y"), field("width"), field("height"), F.col("turn")).alias("order"))
+    return pages.select(page, "ks", F.posexplode("order").alias("position", "at")).select(page, F.get("ks", F.col("at")).alias(key), "position")
 
 
 def page_text(lines: DataFrame, page: str, position: str, text: str) -> DataFrame:

@@ -73,9 +73,9 @@ def doubles(c: str, n: int | None = None) -> F.Column:
 # ---------------------------------------------------------------- scores
 
 
-@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:10], x -> CAST(x AS DOUBLE)) AS v FROM embeddings)
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS channel, ({CLASSIFIER_CHANNELS!r})[list_position(v, list_max(v))] AS script,
- round(exp(-ln(list_sum(list_transform(v, x -> exp(x - list_max(v)))))), 6) AS probability FROM e""")
+ round(exp(-ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v)))))), 6) AS probability FROM e""")
 def script_argmax(spark, d):
     """The classifier's channel of highest score, the first of equals, and its softmax."""
     v = table(spark, d, "embeddings").select("vec_id", doubles("embedding", 10).alias("v"))
@@ -84,18 +84,18 @@ def script_argmax(spark, d):
     return v.select("vec_id", at.alias("channel"), F.element_at(names, at + 1).alias("script"), r6(F.exp(X.log_probability(F.col("v"), at))).alias("probability"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings)
-SELECT vec_id, label, round(v[label + 1] - list_max(v) - ln(list_sum(list_transform(v, x -> exp(x - list_max(v))))), 6) AS log_probability FROM e""")
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT vec_id, label, round(v[label + 1] - list_max(v) - ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS log_probability FROM e""")
 def token_logprob(spark, d):
     """Log-softmax of one token over the whole alphabet."""
     v = table(spark, d, "embeddings").select("vec_id", "label", doubles("embedding").alias("v"))
     return v.select("vec_id", "label", r6(X.log_probability(F.col("v"), F.col("label"))).alias("log_probability"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
- m AS (SELECT vec_id, list_max(list_transform(range(1, 65), i -> CASE WHEN i % 3 = 0 THEN v[i] ELSE -1e300 END)) AS top, v FROM e)
-SELECT vec_id, CAST(list_position(list_transform(range(1, 65), i -> CASE WHEN i % 3 = 0 THEN v[i] ELSE -1e300 END), top) - 1 AS INT) AS token,
- round(top - list_max(v) - ln(list_sum(list_transform(v, x -> exp(x - list_max(v))))), 6) AS log_probability FROM m""")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ m AS (SELECT vec_id, list_max(list_transform(range(1, 65), lambda i: CASE WHEN i % 3 = 0 THEN v[i] ELSE -1e300 END)) AS top, v FROM e)
+SELECT vec_id, CAST(list_position(list_transform(range(1, 65), lambda i: CASE WHEN i % 3 = 0 THEN v[i] ELSE -1e300 END), top) - 1 AS INT) AS token,
+ round(top - list_max(v) - ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS log_probability FROM m""")
 def masked_token(spark, d):
     """The best allowed token; its probability is over the whole alphabet, so that a mask cannot raise it."""
     v = table(spark, d, "embeddings").select("vec_id", doubles("embedding").alias("v"))
@@ -115,7 +115,7 @@ def maps(spark, d):
     return v.withColumn("links", link)
 
 
-@query(f"""WITH e AS (SELECT vec_id, unnest(list_transform(embedding, x -> {SCORE})) AS score, unnest(range(0, 64)) AS cell FROM embeddings)
+@query(f"""WITH e AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: {SCORE})) AS score, unnest(range(0, 64)) AS cell FROM embeddings)
 SELECT vec_id, CAST(cell AS INT) AS cell, round(score, 6) AS score, (cell % 8) * 4 + 1.5e0 + 0.5e0 * 31 AS x, (cell // 8) * 4 + 1.5e0 - 0.5e0 * 31 AS y FROM e WHERE score >= 0.52""")
 def segment_cells(spark, d):
     """Cells over threshold of 8 x 8 score maps, with one decoded corner."""
@@ -124,7 +124,7 @@ def segment_cells(spark, d):
     return c.select("vec_id", "cell", r6("score").alias("score"), p["x"].alias("x"), p["y"].alias("y"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, x -> {SCORE}) AS s FROM embeddings),
+@query(f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: {SCORE}) AS s FROM embeddings),
  cells AS (SELECT vec_id, CAST(c AS INT) AS cell, s FROM e, range(0, 64) AS t(c) WHERE s[c + 1] >= 0.5),
  steps AS (SELECT * FROM (VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)) AS v(c, dy, dx)),
  edges AS (SELECT a.vec_id, a.cell AS a, b.cell AS b FROM cells a JOIN steps ON true JOIN cells b ON b.vec_id = a.vec_id AND b.cell // 8 = a.cell // 8 + dy AND b.cell % 8 = a.cell % 8 + dx
@@ -154,17 +154,21 @@ def frames(spark, d):
 @query(f"WITH {FRAMES} SELECT d.doc_id, length(d.text) AS frames, (SELECT count(*) FROM kept k WHERE k.doc_id = d.doc_id) AS tokens, (SELECT CAST(coalesce(sum(k.id * (k.i % 1000)), 0) AS BIGINT) FROM kept k WHERE k.doc_id = d.doc_id) AS checksum FROM documents d WHERE length(d.text) > 0")
 def ctc_collapse(spark, d):
     """Frames that differ from the one before and are not blank. Each line is one row, so nothing is shuffled."""
-    k = frames(spark, d).withColumn("kept", X.ctc_keep(F.col("ids"), 32))
-    total = F.aggregate("kept", F.lit(0).cast("long"), lambda a, i: a + F.get(F.col("ids"), i) * ((i + 1) % 1000))
-    return k.select("doc_id", F.size("ids").cast("long").alias("frames"), F.size("kept").cast("long").alias("tokens"), total.alias("checksum"))
+    def tally(ids):
+        total = lambda kept: F.aggregate(kept, F.lit(0).cast("long"), lambda a, i: a + F.get(ids, i) * ((i + 1) % 1000))
+        return X.let(X.ctc_keep(ids, 32), lambda kept: F.struct(F.size(ids).cast("long").alias("frames"), F.size(kept).cast("long").alias("tokens"), total(kept).alias("checksum")))
+
+    return frames(spark, d).select("doc_id", X.let(F.col("ids"), tally).alias("t")).select("doc_id", "t.*")
 
 
 @query(f"WITH {FRAMES} SELECT doc_id, count(*) AS tokens, round(sum(lp), 4) AS log_sum, round(exp(sum(lp) / count(*)), 6) AS confidence FROM kept GROUP BY doc_id")
 def ctc_confidence(spark, d):
     """The token confidence of each line: exp of the mean log probability at each emission's first frame."""
-    k = frames(spark, d).withColumn("kept", X.ctc_keep(F.col("ids"), 32)).where(F.size("kept") > 0)
-    logs = F.aggregate("kept", F.lit(0.0), lambda a, i: a + F.ln((F.ascii(F.get(F.col("chars"), i)) % 89 + 10) / 100.0))
-    k = k.select("doc_id", F.size("kept").cast("long").alias("tokens"), logs.alias("s"))
+    def tally(f):
+        logs = lambda kept: F.aggregate(kept, F.lit(0.0), lambda a, i: a + F.ln((F.ascii(F.get(f["chars"], i)) % 89 + 10) / 100.0))
+        return X.let(X.ctc_keep(f["ids"], 32), lambda kept: F.struct(F.size(kept).cast("long").alias("tokens"), logs(kept).alias("s")))
+
+    k = frames(spark, d).select("doc_id", X.let(F.struct("chars", "ids"), tally).alias("t")).select("doc_id", "t.*").where("tokens > 0")
     return k.select("doc_id", "tokens", F.round("s", 4).alias("log_sum"), r6(X.confidence(F.col("s"), F.col("tokens"))).alias("confidence"))
 
 
@@ -175,10 +179,13 @@ def ctc_confidence(spark, d):
 SELECT e.doc_id, count(*) AS emitted, count(*) FILTER (i BETWEEN lo AND hi) AS kept FROM e JOIN b ON b.doc_id = e.doc_id GROUP BY 1""")
 def ctc_trim(spark, d):
     """Emissions without the white space (here e and line ends) at both ends; blank is a space."""
-    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.split("text", "").alias("c"))
-    t = t.withColumn("places", X.ctc_keep(F.col("c"), F.lit(" "))).where(F.size("places") > 0)
-    kept = X.trimmed_places(F.col("places"), F.transform("c", lambda x: x.isin("e", "\n")))
-    return t.select("doc_id", F.size("places").cast("long").alias("emitted"), F.size(kept).cast("long").alias("kept"))
+    def tally(c):
+        places = X.ctc_keep(c, F.lit(" "))
+        kept = lambda p: X.trimmed_places(p, F.transform(c, lambda x: x.isin("e", "\n")))
+        return X.let(places, lambda p: F.struct(F.size(p).cast("long").alias("emitted"), F.size(kept(p)).cast("long").alias("kept")))
+
+    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", X.let(F.split("text", ""), tally).alias("t"))
+    return t.select("doc_id", "t.*").where("emitted > 0")
 
 
 @query("""WITH dim AS (SELECT * FROM (VALUES (0, 'a', NULL), (1, '<space>', NULL), (2, 'x', 'é'), (3, 'ß', 'ss'), (4, '!', NULL)) AS v(id, token, composite)),
@@ -275,10 +282,10 @@ WIDE = """wide AS (SELECT page, seq, floor(x / 4) AS x, floor(y / 8) AS y, width
 
 @query(f"""WITH RECURSIVE {BOXES}, {WIDE}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, x, y, width, height) AS k FROM wide),
  f AS (SELECT page, k, [{{'x': x, 'y': y, 'w': width, 'h': height}}] AS kept FROM n WHERE k = 1
- UNION ALL SELECT n.page, n.k, CASE WHEN len(list_filter(f.kept, b -> greatest(least(b.x + b.w, n.x + n.width) - greatest(b.x, n.x), 0) * greatest(least(b.y + b.h, n.y + n.height) - greatest(b.y, n.y), 0)
+ UNION ALL SELECT n.page, n.k, CASE WHEN len(list_filter(f.kept, lambda b: greatest(least(b.x + b.w, n.x + n.width) - greatest(b.x, n.x), 0) * greatest(least(b.y + b.h, n.y + n.height) - greatest(b.y, n.y), 0)
   / greatest(b.w * b.h + n.width * n.height - greatest(least(b.x + b.w, n.x + n.width) - greatest(b.x, n.x), 0) * greatest(least(b.y + b.h, n.y + n.height) - greatest(b.y, n.y), 0), 1e-6) > 0.2)) > 0 THEN f.kept ELSE list_append(f.kept, {{'x': n.x, 'y': n.y, 'w': n.width, 'h': n.height}}) END
  FROM f JOIN n ON n.page = f.page AND n.k = f.k + 1)
-SELECT f.page, CAST(f.k AS INT) AS candidates, CAST(len(f.kept) AS INT) AS kept, round(list_sum(list_transform(f.kept, b -> b.w * b.h)), 3) AS area FROM f JOIN (SELECT page, max(k) AS k FROM n GROUP BY 1) m ON m.page = f.page AND m.k = f.k""")
+SELECT f.page, CAST(f.k AS INT) AS candidates, CAST(len(f.kept) AS INT) AS kept, round(list_sum(list_transform(f.kept, lambda b: b.w * b.h)), 3) AS area FROM f JOIN (SELECT page, max(k) AS k FROM n GROUP BY 1) m ON m.page = f.page AND m.k = f.k""")
 def suppressed(spark, d):
     """Greedy suppression of overlapping boxes by score."""
     b = boxes(spark, d).select("page", "seq", F.floor(F.col("x") / 4).cast("double").alias("x"), F.floor(F.col("y") / 8).cast("double").alias("y"), (F.col("width") + 40).alias("width"), (F.col("height") + 20).alias("height"), "score")
@@ -417,7 +424,7 @@ def page_confidence(spark, d):
 
 @query(f"""WITH {LINES}, s AS (SELECT page, count(*) FILTER (script = 'Arabic') AS a, count(*) FILTER (script = 'Hebrew') AS h, count(*) FILTER (text = '') AS f FROM lines GROUP BY page)
 SELECT page, array_to_string(list_filter([CASE WHEN a > 0 THEN 'Skipped ' || a || ' line(s) classified as Arabic: recognizer not included in this model package.' END, CASE WHEN h > 0 THEN 'Skipped ' || h || ' line(s) classified as Hebrew: recognizer not included in this model package.' END,
- CASE WHEN f > 0 THEN 'Filtered ' || f || ' line(s) below min_line_confidence 0.500.' END], x -> x IS NOT NULL), '|') AS warnings FROM s""")
+ CASE WHEN f > 0 THEN 'Filtered ' || f || ' line(s) below min_line_confidence 0.500.' END], lambda x: x IS NOT NULL), '|') AS warnings FROM s""")
 def page_warnings(spark, d):
     s = lines(spark, d).groupBy("page").agg(F.count_if(F.col("script") == "Arabic").alias("a"), F.count_if(F.col("script") == "Hebrew").alias("h"), F.count_if(F.col("text") == "").alias("f"))
     return s.select("page", F.array_join(page.warnings(F.create_map(F.lit("Arabic"), F.col("a"), F.lit("Hebrew"), F.col("h")), F.col("f"), 0.5), "|").alias("warnings"))
@@ -439,7 +446,7 @@ def display_filter(spark, d):
 CENTERS = [40.0, 190.0, 320.0, 450.0, 580.0, 720.0]
 
 
-@query(f"""WITH {BOXES}, c AS (SELECT page, y, list_transform({CENTERS!r}, m -> abs(x - m)) AS far FROM boxes)
+@query(f"""WITH {BOXES}, c AS (SELECT page, y, list_transform({CENTERS!r}, lambda m: abs(x - m)) AS far FROM boxes)
 SELECT CAST(round_even((y - 200.16) / 21.33, 0) AS INT) AS "row", CAST(list_position(far, list_min(far)) - 1 AS INT) AS "column", count(*) AS lines FROM c GROUP BY 1, 2""")
 def nearest_cell(spark, d):
     """Lines by their nearest table cell."""

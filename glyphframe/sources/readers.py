@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import exif_orientation, orient
+from ..functions.kernels import exif_orientation, orient, over_white
 
 MOST_BYTES, MOST_PIXELS = 128 << 20, 40_000_000
 
@@ -20,16 +22,11 @@ def encoded_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, data as RGB rows, error) decoded by the JVM; what cannot be decoded, or is smaller than 2 x 2 or
     over 40 megapixels, has an error. EXIF orientation is not applied by that decoder: see upright()."""
-    import numpy as np
-    import pandas as pd
-
     raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
     wrong = F.when(F.col("width") < 0, "image: cannot be decoded").when((F.col("width") < 2) | (F.col("height") < 2) | (F.col("width").cast("long") * F.col("height") > MOST_PIXELS), "image: invalid size")
 
     @F.pandas_udf("binary")
     def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
-        from ..functions.kernels import over_white
-
         out = []
         for d, n in zip(data, channels):
             a = np.frombuffer(d, np.uint8)
