@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- storage and sizing
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is set only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "/tmp/checkpoints/glyphframe"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..storage import materialise  # noqa: F401  used by the operators
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage is cut and any executor may be lost later."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphframe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# ---------------------------------------------------------------- storage and sizing
 
 
 def release_shuffles(spark: SparkSession) -> None:
