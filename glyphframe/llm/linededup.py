@@ -7,8 +7,8 @@ Lines that are blank stay. Equal lines are one class with its earliest place, so
 1. An edit lies in a line's first or in its last half, and leaves the other half as it is. Classes that share a half, counted
    from its end of the line, with another class are the only candidates.
 2. A candidate emits, as hashed keys, itself and its variants with one code point deleted. Two lines one substitution apart
-   share the variant at that place; one insertion apart, the shorter is a variant of the longer. Lines that share a key
-   (type, place and remainder) are joined to the earliest of the key, with partial minima before the shuffle.
+   share the variant at that place, and lines that do are joined to the earliest of them, with partial minima before the
+   shuffle; one insertion apart, the shorter is a variant of the longer, and the two kinds are joined to each other.
 3. Each such pair's edit distance is verified on the strings, and the later line goes.
 
 Cases: null text has no line and stays null; a text whose lines all go becomes empty; rows with equal doc_id and text count as
@@ -30,7 +30,9 @@ from .common import Scatter, U, buckets_for, materialise, mix, powers, release_s
 MAX_SHARE, WANTED = 0.2, 1 << 18
 _CODE = U(0xD6E8FEB86659FD93)
 HALF = ["<u8", "<u8"]
-VARIANT = ["<u8", "<u8", "<u8"]
+VARIANT = ["<u8", "<u8", "<u8", "u1"]  # key, place, line, kind
+SUBSTITUTED, WHOLE, SHORTENED = 0, 1, 2
+SALTS = 8
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
@@ -73,17 +75,16 @@ def half_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys)
 
 
-def variant_keys(line: str) -> np.ndarray:
-    """Hashes of the line itself, of each substitution class (place and remainder), and of each remainder as a shorter line."""
+def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each substitution class (place and remainder), of the line itself, and of each remainder as a shorter line."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(codes)
-    up, down = powers(n + 1)
+    _, down = powers(n + 1)
     c = code_hash(codes)
     salt = lambda k: np.array([k * int(_CODE) % (1 << 64)], U)  # noqa: E731  tells lengths apart
     rest = c[:-1] + (c[-1:] - c[1:]) * down[1]  # the sum without place i, what follows moved up by one
-    same = mix(rest + salt(n - 1))
-    whole = mix(c[-1:] + salt(n))
-    return np.concatenate((whole, same, mix(same + mix(np.arange(n, dtype=np.uint64) + U(1)))))
+    short = mix(rest + salt(n - 1))
+    return mix(short + mix(np.arange(n, dtype=np.uint64) + U(1))), mix(c[-1:] + salt(n)), np.unique(short)
 
 
 def earliest_classes(docs: DataFrame) -> DataFrame:
@@ -193,19 +194,25 @@ def pairs(found: DataFrame, buckets: int) -> DataFrame:
         sure = Scatter(1, buckets, HALF)
 
         def combine(cols):
-            """Of a key's lines in this task only the earliest is sent; the others have it as their earlier line."""
+            """Of a substitution class's lines in this task only the earliest is sent; the others have it as their earlier
+            line."""
+            one = cols[4] == SUBSTITUTED
+            rest = [c[~one] for c in cols]
+            cols = [c[one] for c in cols]
             order, first, size = grouped(cols[1], cols[2])
             cols = [c[order] for c in cols]
             head = np.repeat(cols[3][first], size)
             later = np.flatnonzero(cols[3] != head)
             sure.add((cols[3][later] % U(buckets)).astype(np.int32), cols[3][later], head[later])
-            return [c[first] for c in cols]
+            return [np.concatenate((c[first], r)) for c, r in zip(cols, rest)]
 
         out = Scatter(0, buckets, VARIANT, combine=combine)
         for b in slices(batches, 256):
             for line, place, text in zip(b.column("line").to_pylist(), b.column("place").to_pylist(), b.column("string").to_pylist()):
-                keys = np.unique(variant_keys(text))
-                out.add((keys % U(buckets)).astype(np.int32), keys, np.full(len(keys), place, np.uint64), np.full(len(keys), line, np.int64).view(U))
+                changed, whole, short = variant_keys(text)
+                own = line % SALTS  # many lines may shorten to one, which therefore waits in every salt
+                for kind, keys in ((SUBSTITUTED, changed), (WHOLE, mix(whole + np.arange(SALTS, dtype=np.uint64))), (SHORTENED, mix(short + U(own)))):
+                    out.add((keys % U(buckets)).astype(np.int32), keys, np.full(len(keys), place, np.uint64), np.full(len(keys), line, np.int64).view(U), np.full(len(keys), kind, np.uint8))
             if out.full():
                 yield from out.flush()
                 yield from sure.flush()
@@ -214,16 +221,28 @@ def pairs(found: DataFrame, buckets: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = kinds(batches)
-        key, place, line = unpack(blobs[0], VARIANT)
-        own, before = unpack(blobs[1], HALF)
+        got = [np.stack(unpack(blobs[1], HALF), 1)]
+        cols = unpack(blobs[0], VARIANT)
+        one = cols[3] == SUBSTITUTED
+        key, place, line = (c[one] for c in cols[:3])
         order, first, size = grouped(key, place)
         line = line[order]
         head = np.repeat(line[first], size)
-        later = line != head
-        got = np.stack([np.concatenate((own, line[later])), np.concatenate((before, head[later]))], 1)
-        got = np.unique(got, axis=0).view(np.int64)
-        if len(got):
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["line", "earlier"])
+        got.append(np.stack([line, head], 1)[line != head])
+        key, place, line, kind = (c[~one] for c in cols)
+        order, first, size = grouped(key, place)
+        place, line, whole = place[order], line[order], kind[order] == WHOLE
+        if len(first):
+            group = np.repeat(np.arange(len(first)), size)
+            for mine, other in ((~whole, whole), (whole, ~whole)):  # the earliest of the other kind, if any
+                at = np.full(len(first), len(line))
+                np.minimum.at(at, group[other], np.flatnonzero(other))
+                before = at[group]
+                late = mine & (before < np.arange(len(line)))
+                got.append(np.stack([line[late], line[before[late]]], 1))
+        pairs_ = np.unique(np.concatenate(got), axis=0).view(np.int64)
+        if len(pairs_):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs_[:, 0]), pa.array(pairs_[:, 1])], ["line", "earlier"])
 
     dealt = found.select("line", "place", "string").mapInArrow(deal, Scatter.SCHEMA)
     return dealt.repartitionById(buckets, F.col("bucket")).select("kind", "n", "blob").mapInArrow(meet, "line long, earlier long").distinct()
