@@ -32,8 +32,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "y", "idx", "val", "stat"])
 
     picked = docs.join(F.broadcast(ids), docs.doc_id == ids.label_id).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, idx binary, val binary, stat binary")
-    got = picked.orderBy("doc_id", "idx").toArrow()
-    return [(y, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(v, "<f4"), np.frombuffer(s, "<f4")) for y, i, v, s in zip(*(got.column(c).to_pylist() for c in ("y", "idx", "val", "stat")))]
+    got = picked.toArrow()  # the arrays below are views of it
+    out = []
+    for b in got.to_batches():
+        views = [[np.frombuffer(x.as_buffer(), d) for x in b.column(c)] for c, d in (("idx", "<u4"), ("val", "<f4"), ("stat", "<f4"))]
+        out += zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), *views)
+    out.sort(key=lambda r: (r[0], len(r[2]), r[2].tobytes()[:64]))  # whatever the order of tasks
+    return [r[1:] for r in out]
 
 
 def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:

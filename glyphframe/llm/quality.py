@@ -91,7 +91,7 @@ class Machine:
 
     def row(self, idx: np.ndarray, value: np.ndarray, stat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = np.clip((stat - self.mean) / self.scale, -4, 4) / 4
-        return np.concatenate((idx, (1 << WORD_BITS) + np.arange(STATS))), np.concatenate((value, z))
+        return np.concatenate((idx.astype(np.int64), (1 << WORD_BITS) + np.arange(STATS))), np.concatenate((value, z))
 
     def raw(self, i: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
         vx = self.v[i] * x[:, None]

@@ -32,27 +32,27 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Ftrl:
-    """Weights after EPOCHS passes; index 2**BITS is the bias, which has no L1."""
+    """Weights after EPOCHS passes, and a bias, which has no L1."""
 
     def __init__(self, rows: list):
-        z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        z, n, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(2)
 
-        def weights(i):
-            w = -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
-            w[np.abs(z[i]) <= L1] = 0.0
-            w[-1] = -z[i[-1]] / ((BETA + math.sqrt(n[i[-1]])) / ALPHA + L2)
+        def weights(z, n):
+            w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+            w[np.abs(z) <= L1] = 0.0
             return w
 
-        data = [(float(y > 0), np.append(i, 1 << BITS)) for y, i, _, _ in rows]
-        for epoch in range(EPOCHS if data else 0):
-            for k in np.random.default_rng([11, epoch]).permutation(len(data)):
-                y, i = data[k]
-                w = weights(i)
-                g = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w.sum()))))) - y
-                z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA * w
-                n[i] += g * g
-        w = weights(np.arange((1 << BITS) + 1))
-        self.bias, self.index = float(w[-1]), np.flatnonzero(w[:-1])
+        for epoch in range(EPOCHS if rows else 0):
+            for k in np.random.default_rng([11, epoch]).permutation(len(rows)):
+                y, i = rows[k][:2]
+                zi, ni = z[i], n[i]
+                w, w0 = weights(zi, ni), -bias[0] / ((BETA + math.sqrt(bias[1])) / ALPHA + L2)
+                g = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w.sum()) + w0)))) - float(y > 0)
+                z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
+                n[i] = ni + g * g
+                bias += g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / ALPHA * w0, g * g
+        w = weights(z, n)
+        self.bias, self.index = float(-bias[0] / ((BETA + math.sqrt(bias[1])) / ALPHA + L2)), np.flatnonzero(w)
         self.weight = w[self.index].astype(np.float32)
         self._dense: np.ndarray | None = None
 
