@@ -171,23 +171,22 @@ def word_spans(a: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: bytes, table: np.ndarray = NOT_SPACE, stem: int = 0) -> tuple[np.ndarray, ...]:
-    """Hashes of the words of data in order; with stem > 0 also those of their first stem bytes. Any length of data."""
+def word_hashes(data: bytes, table: np.ndarray = NOT_SPACE, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of data in order, then those of their first bytes, for each number in stems. Any length of data."""
     a = np.frombuffer(data, np.uint8)
     start, end = word_spans(a, table)
-    words, stems = [], []
+    out: list[list[np.ndarray]] = [[] for _ in range(1 + len(stems))]
     i = 0
     while i < len(start):  # pieces of about _CHUNK bytes, cut between words, bound the memory
         j = max(i + 1, int(np.searchsorted(start, start[i] + _CHUNK)))
         lo = start[i]
         c = prefix_hash(a[lo : end[j - 1]])
         s, e = start[i:j] - lo, end[i:j] - lo
-        words.append(span_hash(c, s, e))
-        if stem:
-            stems.append(span_hash(c, s, np.minimum(e, s + stem)))
+        out[0].append(span_hash(c, s, e))
+        for k, stem in enumerate(stems):
+            out[k + 1].append(span_hash(c, s, np.minimum(e, s + stem)))
         i = j
-    got = np.concatenate(words) if words else np.zeros(0, U)
-    return (got, np.concatenate(stems) if stems else np.zeros(0, U)) if stem else (got,)
+    return tuple(np.concatenate(x) if x else np.zeros(0, U) for x in out)
 
 
 _GRAM = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(16)], U)

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are present or absent: words, their first STEM bytes (so that inflected forms share a weight), pairs of neighbours
-and pairs with one word between, hashed to 2**BITS indices. Each weight has its own learning rate, and L1 keeps all but the
+Features are present or absent: words, their first bytes at each length of STEMS (so that inflected forms share a weight),
+stems that occur at least as often as each number of REPEATS (a stem that a clean text meets once by chance is told from one
+that comes again and again), pairs of neighbours and pairs with one word between, hashed to 2**BITS indices. Each weight has its own learning rate, and L1 keeps all but the
 useful ones at exactly zero, so the model that goes to the executors is the list of the others. Fitted on at most SAMPLE
 labelled rows, in the order of a hash of the id.
 
@@ -19,14 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ALNUM, U, keyed, word_hashes
 from .features import bucket, learnable, sample, score_rows
 
-BITS, STEM, SAMPLE, EPOCHS, THRESHOLD = 20, 5, 16000, 3, 0.5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
+BITS, SAMPLE, EPOCHS, THRESHOLD = 20, 16000, 3, 0.5
+STEMS, REPEATS = (5, 7), (2, 4)
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, stems = word_hashes(text.lower().encode(), ALNUM, STEM)
+    words, *stems = word_hashes(text.lower().encode(), ALNUM, STEMS)
     mixed = words * U(0x9E3779B97F4A7C15)
-    grams = [bucket(words, 1, BITS), bucket(stems, 2, BITS), bucket(mixed[:-1] + words[1:], 3, BITS), bucket(mixed[:-2] + words[2:], 4, BITS)]
+    grams = [bucket(words, 1, BITS), bucket(mixed[:-1] + words[1:], 2, BITS), bucket(mixed[:-2] + words[2:], 3, BITS)]
+    for k, stem in enumerate(stems):
+        found, counts = np.unique(stem, return_counts=True)
+        grams += [bucket(found[counts >= n], 100 * (k + 1) + n, BITS) for n in (1, *REPEATS)]
     idx = np.unique(np.concatenate(grams))
     return idx, np.zeros(0, np.float32), np.zeros(0, np.float32)
 
