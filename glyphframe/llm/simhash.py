@@ -197,42 +197,91 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[x[pick]], nodes[y[pick]]
 
 
-def links_of(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int, reduce=forest, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between entries of equal key, at least one of each pair a stored one, that differ in 1 to radius bits; reduce
-    bounds them by the number of entries."""
-    order = np.lexsort((probe, key))
-    key, fp, probe = key[order], fp[order], probe[order]
-    if not len(key):
-        return fp, fp
+def pairs_of(key: np.ndarray, probe: np.ndarray, chunk: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of entries of equal key, at least one of each a stored one, a bounded number at a time. The entries are
+    in order of key, stored ones first."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     stored = np.add.reduceat((probe == 0).astype(np.int64), first)
     base, rank = np.repeat(first, size), np.arange(len(key)) - np.repeat(first, size)
     count = np.where(probe == 0, rank, np.repeat(stored, size))
-    some = np.flatnonzero(count)
-    base, count, own = base[some], count[some], fp[some]
+    own = np.flatnonzero(count)
+    base, count = base[own], count[own]
     total = np.concatenate(([0], np.cumsum(count)))
-    left, right = np.zeros(0, U), np.zeros(0, U)
     i = 0
     while i < len(count):
         j = max(i + 1, int(np.searchsorted(total, total[i] + chunk)) - 1)
         for lo in range(0, int(total[j] - total[i]), 1 << 23):  # one entry may meet many
             at = np.arange(lo, min(lo + (1 << 23), int(total[j] - total[i]))) + total[i]
             e = np.searchsorted(total, at, "right") - 1
-            a, b = own[e], fp[base[e] + at - total[e]]
-            d = np.bitwise_count(a ^ b)
-            hit = (d > 0) & (d <= radius)
-            left, right = np.concatenate((left, a[hit])), np.concatenate((right, b[hit]))
-        if len(left) > 1 << 20:
-            left, right = reduce(left, right)
+            yield own[e], base[e] + at - total[e]
         i = j
-    return reduce(left, right) if len(left) else (left, right)
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, reduce=forest) -> DataFrame:
-    """(a, b): for every pair of distinct fingerprints within radius a path of such pairs. fps: distinct fp."""
+def links_of(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between entries of equal key, at least one of each pair a stored one, that differ in 1 to radius bits; a forest
+    bounds them by the number of entries."""
+    order = np.lexsort((probe, key))
+    key, fp, probe = key[order], fp[order], probe[order]
+    left, right = np.zeros(0, U), np.zeros(0, U)
+    if not len(key):
+        return left, right
+    for i, j in pairs_of(key, probe):
+        a, b = fp[i], fp[j]
+        d = np.bitwise_count(a ^ b)
+        hit = (d > 0) & (d <= radius)
+        left, right = np.concatenate((left, a[hit])), np.concatenate((right, b[hit]))
+        if len(left) > 1 << 20:
+            left, right = forest(left, right)
+    return forest(left, right) if len(left) else (left, right)
+
+
+def near_pairs(key: np.ndarray, fp: np.ndarray, tag: np.ndarray, parts: list[tuple[int, int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of entries, in order of key and tag, that differ in 1 to radius bits, each pair of fingerprints in one
+    part only: the first within whose threshold they are. tag: twice the part, and 1 for probes."""
+    for i, j in pairs_of(key, tag & 1):
+        x = fp[i] ^ fp[j]
+        d = np.bitwise_count(x)
+        hit = np.flatnonzero((d > 0) & (d <= radius))
+        for k, (mask, t) in enumerate(parts[:-1]):
+            hit = hit[(tag[i[hit]] >> 1 <= k) | (np.bitwise_count(x[hit] & U(mask)) > t)]
+        if len(hit):
+            yield i[hit], j[hit]
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether packed signatures (two bins a byte), row by row, are of texts of that similarity."""
+    z = x ^ y
+    same = (np.count_nonzero(z & 0xF0 == 0, axis=1) + np.count_nonzero(z & 0x0F == 0, axis=1)) / BINS
+    chance = 2.0**-BITS
+    return (same - chance) / (1 - chance) >= similarity
+
+
+def verified_links(key: np.ndarray, fp: np.ndarray, tag: np.ndarray, signature: np.ndarray, parts: list[tuple[int, int]], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of all pairs of near_pairs whose signatures are alike. Only a pair whose ends verified pairs already join is
+    not compared: it could not change what is joined."""
+    order = np.lexsort((tag, key))
+    key, fp, tag, signature = key[order], fp[order], tag[order], signature[order]
+    nodes, at = np.unique(fp, return_inverse=True)
+    label = np.arange(len(nodes))
+    for i, j in near_pairs(key, fp, tag, parts, radius) if len(key) else ():
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            apart = label[at[x]] != label[at[y]]
+            x, y = x[apart], y[apart]
+            good = alike(signature[x], signature[y], similarity)
+            if good.any():
+                child, root = forest(label[at[x[good]]], label[at[y[good]]])
+                to = np.arange(len(nodes))
+                to[child] = root
+                label = to[label]
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
+def meeting(fps: DataFrame, n: int, parts: list[tuple[int, int]]) -> DataFrame:
+    """The entries of all fingerprints as blobs of Scatter, those of equal key in one task. fps: distinct fp; parts: a plan."""
     spark = fps.sparkSession
-    parts = plan(fps, n, radius)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     limit = max(BLOCK, len(parts) * n // HOT_KEYS)
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("value")) for k, (mask, _) in enumerate(parts)])).alias("x")
@@ -247,7 +296,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, reduce=forest) -> DataFr
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Scatter(0, buckets, ENTRY)
 
-        def add(key, fp, probe):
+        def add(key, fp, tag):
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                 is_hot = hot[at] == key
@@ -255,35 +304,87 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, reduce=forest) -> DataFr
                     of = is_hot & (b < blocks[at])
                     home = (mix(fp) % blocks[at].astype(U)).astype(np.int64) == b
                     k = mix(key + U(b + 1))
-                    if not probe:
-                        put(k[of & home], fp[of & home], 0)
-                    put(k[of], fp[of], 1)
+                    if not tag & 1:
+                        put(k[of & home], fp[of & home], tag)
+                    put(k[of], fp[of], tag | 1)
                 key, fp = key[~is_hot], fp[~is_hot]
-            put(key, fp, probe)
+            put(key, fp, tag)
 
-        def put(key, fp, probe):
-            out.add((key % U(buckets)).astype(np.int32), key, fp, np.full(len(key), probe, np.uint8))
+        def put(key, fp, tag):
+            out.add((key % U(buckets)).astype(np.int32), key, fp, np.full(len(key), tag, np.uint8))
 
         for batch in slices(batches, 8192):
             fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             for k, (mask, _) in enumerate(parts):
                 value = fp & U(mask)
-                add(key_of(value, k), fp, 0)
+                add(key_of(value, k), fp, 2 * k)
                 for m, low in probes[k]:
                     zero = (value & U(low)) == 0  # of two values that differ in m, the one with its lowest bit clear probes
-                    add(key_of(value[zero] ^ U(m), k), fp[zero], 1)
+                    add(key_of(value[zero] ^ U(m), k), fp[zero], 2 * k + 1)
                 if out.full():
                     yield from out.flush()
         yield from out.flush()
 
+    dealt = fps.select("fp").repartition(max(8, min(buckets, n // 20000 + 1))).mapInArrow(deal, Scatter.SCHEMA)
+    return dealt.repartitionById(buckets, F.col("bucket")).select("n", "blob")
+
+
+def blobs_of(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, bytes]]:
+    return [x for b in batches for x in zip(b.column("n").to_pylist(), b.column("blob").to_pylist())]
+
+
+def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b): for every pair of distinct fingerprints within radius a path of such pairs. fps: distinct fp."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in zip(b.column("n").to_pylist(), b.column("blob").to_pylist())]
-        a, b = links_of(*unpack(blobs, ENTRY), radius, reduce)
+        key, fp, tag = unpack(blobs_of(batches), ENTRY)
+        a, b = links_of(key, fp, tag & 1, radius)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    dealt = fps.select("fp").repartition(max(8, min(buckets, n // 20000 + 1))).mapInArrow(deal, Scatter.SCHEMA)
-    return dealt.repartitionById(buckets, F.col("bucket")).select("n", "blob").mapInArrow(meet, "a long, b long")
+    return meeting(fps, n, plan(fps, n, radius)).mapInArrow(meet, "a long, b long")
+
+
+def similar(distinct: DataFrame, n: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b): for every pair of distinct fingerprints within radius whose signatures are alike a path of such pairs; every
+    pair is verified before any is left out. distinct: fp, signature, with distinct fp.
+
+    Entries that meet another within radius are kept, are given their signatures, and meet a second time."""
+    parts = plan(distinct.select("fp"), n, radius)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, tag = unpack(blobs_of(batches), ENTRY)
+        order = np.lexsort((tag, key))
+        key, fp, tag = key[order], fp[order], tag[order]
+        some = np.zeros(len(key), bool)
+        for i, j in near_pairs(key, fp, tag, parts, radius) if len(key) else ():
+            some[i] = some[j] = True
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(fp[some].view(np.int64)), pa.array(tag[some].astype(np.int32))], ["key", "fp", "tag"])
+
+    met = materialise(meeting(distinct.select("fp"), n, parts).mapInArrow(meet, "key long, fp long, tag int"), "near-entries")
+    buckets = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.count() // 200_000 + 1)
+    entry = [*ENTRY, f"V{BINS // 2}"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Scatter(0, buckets, entry)
+        for b in slices(batches, 4096):
+            key, fp, tag = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "tag"))
+            bins = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
+            key = key.astype(np.int64).view(U)
+            out.add((key % U(buckets)).astype(np.int32), key, fp.astype(np.int64).view(U), tag.astype(np.uint8), (bins[:, 0::2] << 4 | bins[:, 1::2]).view(entry[-1])[:, 0])
+            if out.full():
+                yield from out.flush()
+        yield from out.flush()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, tag, signature = unpack(blobs_of(batches), entry)
+        a, b = verified_links(key, fp, tag, signature.view(np.uint8).reshape(-1, BINS // 2), parts, radius, similarity)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    dealt = met.join(distinct.select("fp", "signature"), "fp").mapInArrow(deal, Scatter.SCHEMA)
+    return dealt.repartitionById(buckets, F.col("bucket")).select("n", "blob").mapInArrow(verify, "a long, b long")
 
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -310,28 +411,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified(edges: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose fingerprints' signatures are alike enough. signatures: fp, signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
-            chance = 2.0**-BITS
-            alike = ((x == y).mean(1) - chance) / (1 - chance) >= similarity
-            yield b.select(["a", "b"]).filter(pa.array(alike))
-
-    x = signatures.select(F.col("fp").alias("a"), F.col("signature").alias("x"))
-    y = signatures.select(F.col("fp").alias("b"), F.col("signature").alias("y"))
-    return edges.distinct().join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
-
-
 def keep_one(docs: DataFrame, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows, with all their columns, that stay: of each group of near-copies the one with the smallest doc_id (null:
     largest), then the smallest text hash; of rows alike in both any one.
 
     Texts of equal fingerprint are near-copies. So are those whose fingerprints differ in at most radius bits and whose
-    shingle sets are similar, by their MinHash signatures; of the pairs within radius those that span them with the smallest
-    distances are verified. A radius of 13 of 64 bits finds about nine in ten pairs of similarity 0.8, more above."""
+    shingle sets are similar, by their MinHash signatures; every pair within radius is verified. A radius of 13 of
+    64 bits finds about nine in ten pairs of similarity 0.8, more above."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(fingerprints(own, words, signed=True), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "signature")).alias("first")
@@ -339,8 +425,7 @@ def keep_one(docs: DataFrame, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS
     n = distinct.count()
     if not n:
         return docs
-    edges = materialise(links(distinct.select("fp"), n, radius, spanning), "near-links")
-    nodes = components(verified(edges, distinct, similarity)).withColumnRenamed("node", "fp")
+    nodes = components(similar(distinct, n, radius, similarity)).withColumnRenamed("node", "fp")
     root = distinct.select("fp", "first").join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stays = root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
     copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))

@@ -285,6 +285,29 @@ def test_near_copies(spark, docs, rows, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(keyed(empty)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_near_copies_of_graded_edits(spark, monkeypatch, block):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(words) for _ in range(200)]]
+    for _ in range(150):
+        text = list(texts[0] if rng.random() < 0.5 else rng.choice(texts))
+        for at in rng.sample(range(200), rng.randint(2, 5)):
+            text[at] = rng.choice(words)
+        texts.append(text)
+    texts = [" ".join(t) for t in texts]
+    fps, bins = [simhash.simhash(t, simhash.NEAR_WORDS) for t in texts], [fingerprints.bins_of(t) for t in texts]
+    out = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= simhash.NEAR_RADIUS and fingerprints.likeness(bins[i], bins[j]) >= simhash.SIMILARITY:
+                a, b = out[i], out[j]
+                out = [min(a, b) if x in (a, b) else x for x in out]
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    kept = simhash.keep_one(frame(spark, enumerate(texts)))
+    assert 1 < len(set(out)) and {r.doc_id for r in kept.collect()} == set(out)
+
+
 def brute_spans(rows, length=suffixes.LENGTH):
     first = {}
     for d, t in rows:
