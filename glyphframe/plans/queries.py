@@ -225,9 +225,10 @@ def nfc_text(spark, d):
 
 @query()
 def inverse_bidi(spark, d):
-    """Visual to logical order of each document's first line, between Hebrew words."""
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("אבג "), F.substring_index("text", "\n", 1), F.lit(" דה")).alias("visual"))
-    return t.select("doc_id", X.inverse_bidi("visual").alias("logical"))
+    """Visual to logical order of every line of each document, between Hebrew words; lines count from 0."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "visual"))
+    t = t.select("doc_id", "line", F.concat(F.lit("אבג "), F.col("visual"), F.lit(" דה")).alias("visual"))
+    return t.select("doc_id", "line", X.inverse_bidi("visual").alias("logical"))
 
 
 @query("""WITH n AS (SELECT part.p_partkey, part.p_name || part.p_brand || 'ONNXModel' AS name FROM part), s AS (SELECT p_partkey, regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g') AS a FROM n)

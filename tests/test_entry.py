@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from glyphframe.functions.kernels import visual_to_logical
 from glyphframe.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
@@ -33,3 +34,10 @@ def test_query_matches_sql(spark, con, name):
 
 def test_reading_order_keeps_every_box(spark):
     assert QUERIES["reading_order"](spark, D).agg({"boxes": "sum"}).first()[0] == spark.read.parquet(f"{D}/lineitem.parquet").count()
+
+
+def test_inverse_bidi_takes_every_line(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").collect()
+    want = {(r.doc_id, i): visual_to_logical(f"אבג {x} דה") for r in docs for i, x in enumerate(r.text.split("\n"))}
+    got = QUERIES["inverse_bidi"](spark, D).collect()
+    assert len(got) == len(want) > len(docs) and {(r.doc_id, r.line): r.logical for r in got} == want
