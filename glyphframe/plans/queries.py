@@ -461,9 +461,19 @@ def nearest_cell(spark, d):
 @query("""WITH t AS (SELECT item_id, CAST(item_id % 3 AS VARCHAR) AS corpus, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS expected FROM benchmark), a AS (SELECT corpus, expected, regexp_replace(expected, '[aeiou]', CASE WHEN item_id % 2 = 0 THEN '' ELSE 'u' END, 'g') AS actual FROM t)
 SELECT corpus, count(*) AS cases, count(*) FILTER (expected = actual) AS exact_matches, CAST(sum(levenshtein(expected, actual)) AS BIGINT) AS character_errors, CAST(sum(length(expected)) AS BIGINT) AS reference_characters, round(sum(levenshtein(expected, actual)) / greatest(1, sum(length(expected))), 6) AS character_error_rate FROM a GROUP BY corpus""")
 def character_error_rate(spark, d):
-    """Edit distance of recognised to expected text by corpus; text is reduced to ASCII, as the SQL counts bytes. A line of a
-    page has at most 200 characters here, which is the case's form, not a cut of its data."""
-    t = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("corpus"), F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200).alias("expected"))
+    """Edit distance of recognised to expected text by corpus; text is reduced to ASCII, as the SQL counts bytes. Like the SQL,
+    it takes the first 200 characters of a text only; whole_text_error_rate takes all."""
+    return _error_rate(spark, d, lambda text: F.substring(text, 1, 200))
+
+
+@query()
+def whole_text_error_rate(spark, d):
+    """character_error_rate over whole texts; without SQL."""
+    return _error_rate(spark, d, lambda text: text)
+
+
+def _error_rate(spark, d, part):
+    t = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("corpus"), part(F.regexp_replace("text", "[^ -~]", "")).alias("expected"))
     vowel = F.when(F.col("item_id") % 2 == 0, "").otherwise("u")
     actual = t.select("item_id", F.regexp_replace(F.col("expected"), F.lit("[aeiou]"), vowel).alias("actual"))
     got = evaluate.error_rates(evaluate.cases(t, actual, "item_id"), "corpus")
