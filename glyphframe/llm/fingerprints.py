@@ -2,11 +2,13 @@
 
 Each five-word shingle is hashed once; the top bits choose one of BINS bins, which keeps its smallest hash. An empty bin e
 copies the non-empty bin j that a fixed random order of e ranks first, so two documents fill it alike whenever that bin is
-filled in both. Only BITS low-order bits a bin are stored; two unrelated bins then agree with probability 2**-BITS, which
-likeness() takes out.
+filled in both; the copy is hashed with e, so that bins with one donor still have bits of their own. Only BITS low-order bits
+a bin are stored; two unrelated bins then agree with probability 2**-BITS, which likeness() takes out.
 
 Cases: null text is empty; a text of fewer than five words is one shingle (so is the empty one, and empty texts are alike);
-rows with equal doc_id are ordered by text; null doc_ids come after the smallest id; no rows give no rows.
+texts of any length are hashed in pieces of about a megabyte; rows with equal doc_id are ordered by a hash of the text, and
+null doc_ids come after the smallest id; of the table's columns only the two named are read, whatever the others are called;
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ def bins_of(text: str) -> np.ndarray:
     filled[at] = True
     if not filled.all():
         empty, full = np.flatnonzero(~filled), np.flatnonzero(filled)
-        low[empty] = low[full[_RANK[np.ix_(empty, full)].argmin(1)]]
+        low[empty] = mix(low[full[_RANK[np.ix_(empty, full)].argmin(1)]] + empty.astype(U) * U(0x9E3779B97F4A7C15))
     return (low & U((1 << BITS) - 1)).astype(np.uint8)
 
 
@@ -66,21 +69,38 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def slots(key: np.ndarray, place: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The bucket of each row, from the largest key down; cuts: ascending. A key that several cuts name has rows for as many
+    buckets, over which its rows fall by place (long, from the largest down)."""
+    first, end = len(cuts) - np.searchsorted(cuts, key, "right"), len(cuts) - np.searchsorted(cuts, key, "left")
+    down = (np.int64((1 << 63) - 1) - place).view(U)  # wraps: from 0 to 2**64 - 1
+    return (first + ((down >> U(32)) * (end - first + 1).astype(U) >> U(32)).astype(np.int64)).astype(np.int32)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, guest, doc_id, text): doc_ids fall over the buckets and within them; the row after a bucket's last one stands
-    there too, as a guest (after the last row of all: the first). One shuffle of the texts; the driver sees one id a bucket."""
+    """(guest, doc_id, text): rows in descending order of doc_id and text hash fall over the buckets and within them; the row
+    after a bucket's last one stands there too, as a guest (after the last row of all: the first). One shuffle of the texts;
+    the driver, and each task, sees one cut and one row a bucket."""
     spark, least = docs.sparkSession, -(1 << 63)
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(least)))
     n = buckets_for(docs)
-    cuts = sorted({int(x) for x in docs.select("key").approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    above = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("key"))) if cuts else F.lit(0)
-    docs = docs.withColumn("bucket", above)
-    tops = sorted((r.bucket, r.top) for r in docs.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    guests = [(tops[i - 1][0], top) for i, (_, top) in enumerate(tops)]  # i = 0: the first row follows the last bucket
-    guest = F.broadcast(spark.createDataFrame(guests or [(0, 0)], "host int, top long"))  # one row a bucket
-    both = docs.join(guest, docs.key == guest.top, "left").withColumn("at", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))))
+    cuts = np.array(sorted(int(x) for x in docs.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)) if n > 1 else [], np.int64)
+    crowded = len(np.unique(cuts)) < len(cuts)
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series(slots(key.to_numpy(np.int64), place.to_numpy(np.int64), cuts))
+
+    docs = docs.withColumn("place", F.xxhash64("text") if crowded else F.lit(0).cast("long"))
+    docs = docs.withColumn("bucket", bucket("key", "place"))
+    tops = sorted((r.bucket, r.top.key, r.top.place) for r in docs.groupBy("bucket").agg(F.max(F.struct("key", "place")).alias("top")).collect())
+    guests = [(tops[i - 1][0], key, place) for i, (_, key, place) in enumerate(tops)]  # i = 0: the first row follows the last bucket
+    guest = F.broadcast(spark.createDataFrame(guests or [(0, 0, 0)], "host int, top long, top_place long"))  # one row a bucket
+    own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
+    both = docs.join(guest, (docs.key == guest.top) & (docs.place == guest.top_place), "left")
+    both = both.withColumn("at", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))))
     both = both.select("at.bucket", "at.guest", "key", "doc_id", "text")
-    return both.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("key"), "text").select("guest", "doc_id", "text")
+    return both.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc(F.xxhash64("text"))).select("guest", "doc_id", "text")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
