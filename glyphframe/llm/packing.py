@@ -1,17 +1,23 @@
 """Packing: cost-balanced packing of tokenised documents into fixed-length sequences.
 
-Documents are tokenised, an end token is added, and whole sequences' worth of a document are cut off as sequences of their
-own. What remains of a group of documents is dealt to sequences whose capacities add up to exactly its tokens: as many of
-MAX tokens as fit, and powers of two for the rest, which need no padding. In descending length each remainder goes to the
-sequence of lowest cost, LINEAR * n + QUADRATIC * n**2 over its pieces, among those with room; where none has room for all
-of it, it is cut to fill the roomiest. No shuffle: groups are runs of one input partition, so a lost task makes the same again.
-
-Cases: null text is empty and yields the end token alone; repeated rows are packed each; no rows give no rows.
+Documents are tokenised and an end token is added; one of more than MAX tokens is cut into near-equal pieces of at most half a
+sequence. The sequences of a group of documents have capacities that add up to exactly its tokens: as many of MAX as fit, and
+powers of two for the rest, which need no padding. In descending length (equal ones in the order of the rows) each piece goes
+to the sequence of lowest cost, LINEAR * n + QUADRATIC * n**2 over its pieces, among those with room, the first of equals;
+where none has room for all of it, it is cut to fill the roomiest. No shuffle: groups are runs of one input partition, so a
+lost task makes the same again.
+
+The ids come from the rank file, which is several times faster than the tokenizers library and equal to it for every code
+point; a run of white space that is too long for its regular expression goes to the library itself.
+
+Cases: null text is empty and yields the end token alone; texts of any length are tokenised whole; repeated rows are packed
+each; of the table's columns only the two named are read, whatever the others are called; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +27,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import keyed, slices
 
@@ -28,6 +35,7 @@ MAX, LINEAR, QUADRATIC = 1024, 1.0, 1.0 / 1024
 GROUP_DOCS, GROUP_TOKENS = 4096, 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 _LOADED: dict[str, tiktoken.Encoding] = {}
+_LIBRARY: dict[str, Tokenizer] = {}
 
 
 def encoding(rank_path: str) -> tiktoken.Encoding:
@@ -39,6 +47,23 @@ def encoding(rank_path: str) -> tiktoken.Encoding:
     return _LOADED[rank_path]
 
 
+def ids_of(text: str, rank_path: str, json_path: str) -> list[int]:
+    try:
+        return encoding(rank_path).encode(text, allowed_special="all")
+    except ValueError:  # white space beyond the regular expression's stack
+        if json_path not in _LIBRARY:
+            _LIBRARY[json_path] = Tokenizer.from_file(json_path)
+            _LIBRARY[json_path].no_truncation()
+            _LIBRARY[json_path].no_padding()
+        return _LIBRARY[json_path].encode(text, add_special_tokens=False).ids
+
+
+def cuts_of(n: int, longest: int = MAX) -> list[int]:
+    """Where a document's pieces start, and its end."""
+    k = 1 if n <= longest else -(-n // max(longest // 2, 1))
+    return [n * i // k for i in range(k + 1)]
+
+
 def assign(lengths: list[int], longest: int = MAX) -> tuple[list[list[tuple[int, int, int, int]]], list[int]]:
     """For each length its pieces (start, length, sequence, offset), and the sequences' capacities, all filled."""
     total = sum(lengths)
@@ -46,8 +71,8 @@ def assign(lengths: list[int], longest: int = MAX) -> tuple[list[list[tuple[int,
     cap = np.array(caps, np.int64)
     room, cost = cap.copy(), np.zeros(len(caps))
     pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in lengths]
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        start, left = 0, lengths[i]
+    items = [(i, a, b - a) for i, n in enumerate(lengths) for a, b in itertools.pairwise(cuts_of(n, longest))]
+    for i, start, left in sorted(items, key=lambda x: (-x[2], x[0], x[1])):
         while left:
             k = int(np.where(room >= left, cost, np.inf).argmin())
             if room[k] < left:
@@ -60,46 +85,33 @@ def assign(lengths: list[int], longest: int = MAX) -> tuple[list[list[tuple[int,
     return pieces, caps
 
 
-def pack(docs: DataFrame, rank_path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece: where it lies in its document and in its sequence. See the module for the rule and the cases."""
+def pack(docs: DataFrame, rank_path: str | None = None, json_path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a piece: where it lies in its document and in its sequence. See the module for the rule and the cases.
+    rank_path, json_path: the same vocabulary, for tiktoken and for tokenizers."""
     rank_path = rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base, serial = encoding(rank_path), TaskContext.get().partitionId() << 40, 0
-        rows: list[tuple] = []
-        group: list[tuple] = []  # (doc_id, ids of the remainder, its start, tokens of the document)
+        base, serial = TaskContext.get().partitionId() << 40, 0
+        group: list[tuple] = []  # (doc_id, its ids)
         held = 0
 
-        def settle():
+        def settle() -> Iterator[pa.RecordBatch]:
             nonlocal serial, group, held
-            pieces, caps = assign([len(x[1]) for x in group])
-            for (doc, ids, at, n), own in zip(group, pieces):
-                rows.extend((doc, at + s, k, zlib.crc32(ids[s : s + k].tobytes()), n, base + serial + q, off, caps[q]) for s, k, q, off in own)
+            pieces, caps = assign([len(ids) for _, ids in group])
+            rows = [(doc, s, k, zlib.crc32(ids[s : s + k].tobytes()), len(ids), base + serial + q, off, caps[q]) for (doc, ids), own in zip(group, pieces) for s, k, q, off in own]
             serial += len(caps)
             group, held = [], 0
-
-        def table():
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"])
+            for i in range(0, len(rows), 20000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 20000])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"])
 
         for b in slices(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.array([*enc.encode(text or "", allowed_special="all"), end_id], "<u4")
-                whole = len(ids) // MAX * MAX
-                for at in range(0, whole, MAX):
-                    rows.append((doc, at, MAX, zlib.crc32(ids[at : at + MAX].tobytes()), len(ids), base + serial, 0, MAX))
-                    serial += 1
-                if whole < len(ids):
-                    group.append((doc, ids[whole:].copy(), whole, len(ids)))
-                    held += len(ids) - whole
+                group.append((doc, np.array([*ids_of(text or "", rank_path, json_path), end_id], "<u4")))
+                held += len(group[-1][1])
                 if len(group) >= GROUP_DOCS or held >= GROUP_TOKENS:
-                    settle()
-            if len(rows) >= 20000:
-                yield table()
-        settle()
-        if rows:
-            yield table()
+                    yield from settle()
+        yield from settle()
 
     return keyed(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
