@@ -5,7 +5,11 @@ cased letter by letter, and split into words; a word's UTF-8 bytes become its sy
 Merges are applied in rank order, leftmost first; an entry whose symbols have changed since it was queued is skipped. Decoding
 concatenates vocabulary strings, one space between, which is what a vocabulary without a decoder asks for.
 
-Cases: null text is empty: no tokens, and both digests are those of the empty string; no rows give no rows.
+Python's Unicode tables differ from the library's for some 1,900 code points, all beyond U+0557. Texts with a code point from
+PLAIN on are therefore composed, lower-cased and split by the vocabulary's own normaliser and splitter as the library has them.
+
+Cases: null text is empty: no tokens, and both digests are those of the empty string; texts and words of any length are
+encoded whole; of the table's columns only the two named are read, whatever the others are called; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import keyed, slices
 
 CACHE, LONG = 150_000, 64
+PLAIN = "\u0300"
 
 
 def byte_symbols() -> list[str]:
@@ -50,7 +56,10 @@ class Bpe:
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.symbols = byte_symbols()
+        self.bytes = {c: b for b, c in enumerate(self.symbols)}
         self.seen: dict[str, tuple[int, str, str]] = {}
+        library = Tokenizer.from_file(path)
+        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The merged symbols of one word."""
@@ -76,7 +85,7 @@ class Bpe:
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of tokens, ids and strings, joined by a space."""
         if (got := self.seen.get(word)) is None:
-            symbols = [self.symbols[b] for b in word.encode()]
+            symbols = [self.symbols[b] for b in word.encode("utf-8", "surrogateescape")]
             symbols[-1] += self.end
             ids = [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
             got = len(ids), " ".join(map(str, ids)), " ".join(self.text[i] for i in ids)
@@ -92,11 +101,16 @@ class Bpe:
             if k % 2:
                 out.append((1, str(self.special[piece]), piece))
                 continue
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
             seen, word = self.seen, self.word
-            out.extend([seen.get(w) or word(w) for w in self.WORD.findall(piece)])
+            out.extend([seen.get(w) or word(w) for w in self.words(piece)])
         return [p for p in out if p[0]]
 
+    def words(self, text: str) -> list[str]:
+        if not text or max(text) < PLAIN:
+            return self.WORD.findall(unicodedata.normalize("NFC", text).lower())
+        split = self.splitter.pre_tokenize_str(self.normaliser.normalize_str(text))
+        return [bytes(map(self.bytes.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in split]
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.parts(text) for i in p[1].split(" ")]
 
