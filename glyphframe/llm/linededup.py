@@ -2,7 +2,8 @@
 
 A line, stripped of outer white space, is a duplicate if an earlier line (by doc_id, then text hash, then line number) equals
 it or is within one edit of it (insertion, deletion or substitution of one code point) that is at most a fifth of its length.
-Lines that are blank stay. Equal lines are one class with its earliest place, so only classes are compared.
+Lines that are blank stay. Equal lines (by 128 bits of a digest) are one class with its earliest place, so only classes are
+compared.
 
 1. An edit lies in a line's first or in its last half, and leaves the other half as it is. Classes that share a half, counted
    from its end of the line, with another class are the only candidates.
@@ -11,13 +12,16 @@ Lines that are blank stay. Equal lines are one class with its earliest place, so
    shuffle; one insertion apart, the shorter is a variant of the longer, and the two kinds are joined to each other.
 3. Each such pair's edit distance is verified on the strings, and the later line goes.
 
-Cases: null text has no line and stays null; a text whose lines all go becomes empty; rows with equal doc_id and text count as
-one document (their lines stay or go alike) and null doc_ids come last; no rows give no rows.
+Cases: null text has no line and stays null; a text whose lines all go becomes empty; lines of any length are compared whole,
+in time that grows with their length; rows with equal doc_id and text count as one document (their lines stay or go alike)
+and null doc_ids come last; other columns stay as they are, whatever they are called, but for an n_chars of whole numbers,
+which follows the text; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scatter, U, buckets_for, materialise, mix, powers, release_shuffles, slices, span_hash, unpack
+from .common import Scatter, U, buckets_for, counts_chars, discard, materialise, mix, powers, slices, span_hash, unpack
 
-MAX_SHARE, WANTED = 0.2, 1 << 18
+EDITS, MAX_SHARE, WANTED = 1, 0.2, 1 << 18
 _CODE = U(0xD6E8FEB86659FD93)
 HALF = ["<u8", "<u8"]
 VARIANT = ["<u8", "<u8", "<u8", "u1"]  # key, place, line, kind
@@ -55,8 +59,22 @@ def joined(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.cumsum(size) - size, size
 
 
-def class_of(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
+def class_of(line: str) -> tuple[int, int]:
+    """The class of a line (under which it meets others), and 64 bits more that tell classes of one number apart."""
+    return struct.unpack("<qq", hashlib.blake2b(line.encode(), digest_size=16).digest())
+
+
+def chunks(lines: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+    """The lines in lists of at most so many code points, or of one longer line."""
+    some, held = [], 0
+    for line in lines:
+        if some and held + len(line) > most:
+            yield some
+            some, held = [], 0
+        some.append(line)
+        held += len(line)
+    if some:
+        yield some
 
 
 def half_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +106,17 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def earliest_classes(docs: DataFrame) -> DataFrame:
-    """line (class), first (nulls last: doc_id, text hash, number). docs: doc_id, text, text_hash."""
+    """line, check (class), first (nulls last: doc_id, text hash, number). docs: doc_id, text, text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [(class_of(s), d is None, d, h, i) for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text").to_pylist()) for i, s in lines_of(t)]
+            rows = [(*class_of(s), d is None, d, h, i) for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text").to_pylist()) for i, s in lines_of(t)]
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()))], ["line", "none", "doc_id", "text_hash", "number"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()))], ["line", "check", "none", "doc_id", "text_hash", "number"])
 
-    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(run, "line long, none boolean, doc_id long, text_hash long, number int")
-    return rows.groupBy("line").agg(F.min(F.struct("none", "doc_id", "text_hash", "number")).alias("first"))
+    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(run, "line long, check long, none boolean, doc_id long, text_hash long, number int")
+    return rows.groupBy("line", "check").agg(F.min(F.struct("none", "doc_id", "text_hash", "number")).alias("first"))
 
 
 def candidates(docs: DataFrame, buckets: int) -> DataFrame:
@@ -119,10 +137,9 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         out = Scatter(0, buckets, HALF, combine=combine)
         for b in slices(batches, 256):
             lines = list({s for t in b.column("text").to_pylist() for _, s in lines_of(t)})
-            for k in range(0, len(lines), 4096):
-                some = lines[k : k + 4096]
+            for some in chunks(lines):
                 index, keys = half_keys(some)
-                out.add((keys % U(buckets)).astype(np.int32), keys, np.array([class_of(s) for s in some], np.int64).view(U)[index])
+                out.add((keys % U(buckets)).astype(np.int32), keys, np.array([class_of(s)[0] for s in some], np.int64).view(U)[index])
             if out.full():
                 yield from out.flush()
                 yield from sure.flush()
@@ -164,8 +181,8 @@ def same_doc(a: DataFrame, b: DataFrame) -> Column:
 
 
 def strings(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """line, first, string of each class in places (line, first): taken from its earliest document."""
-    per_doc = places.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list(F.struct("first.number", "line")).alias("wanted"))
+    """line, check, string of each class in places (line, check, first): taken from its earliest document."""
+    per_doc = places.groupBy(F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h")).agg(F.collect_list(F.struct("first.number", "line", "check")).alias("wanted"))
     # few documents are wanted while lines rarely share a half: a set of at most WANTED slots, whatever the input, tells most
     # of the others before their texts are shuffled
     slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(WANTED))
@@ -178,12 +195,12 @@ def strings(docs: DataFrame, places: DataFrame) -> DataFrame:
             rows = []
             for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist()):
                 parts = text.split("\n")
-                rows += [(w["line"], parts[w["number"]].strip()) for w in wanted]
+                rows += [(w["line"], w["check"], parts[w["number"]].strip()) for w in wanted]
             if rows:
-                lines, texts = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(texts, pa.string())], ["line", "string"])
+                lines, checks, texts = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(checks, pa.int64()), pa.array(texts, pa.string())], ["line", "check", "string"])
 
-    return met.mapInArrow(run, "line long, string string")
+    return met.mapInArrow(run, "line long, check long, string string")
 
 
 def pairs(found: DataFrame, buckets: int) -> DataFrame:
@@ -249,29 +266,32 @@ def pairs(found: DataFrame, buckets: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
-    """line: the classes with an earlier class within one edit."""
-    wanted = materialise(candidates(docs, buckets).join(classes, "line").select("line", "first"), "line-candidates")
-    release_shuffles(docs.sparkSession)
-    found = strings(docs, wanted).join(wanted, "line")
-    found = materialise(found.select("line", "string", "first"), "line-strings")
-    release_shuffles(docs.sparkSession)
+    """line, check: the classes with an earlier class within the edit bound."""
+    wanted = materialise(candidates(docs, buckets).join(classes, "line").select("line", "check", "first"), "line-candidates")
+    found = strings(docs, wanted).join(wanted, ["line", "check"])
+    found = materialise(found.select("line", "check", "string", "first"), "line-strings")
+    discard(wanted)
     order = F.col("first")
     # the order of first places as one number: a rank within range partitions would need another pass, and the hash of the
     # place would lose the order, so the rank comes from sorted runs: partition number and position within it
     ranked = found.repartitionByRange(buckets, order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id())
     met = materialise(pairs(ranked, buckets), "line-pairs")
-    a, b = found.select("line", "string", "first"), found.select(F.col("line").alias("earlier"), F.col("string").alias("other"), F.col("first").alias("before"))
-    verified = met.join(a, "line").join(b, "earlier").where((F.col("before") < F.col("first")) & (F.levenshtein("string", "other") <= F.least(F.lit(1.0), F.greatest(F.length("string"), F.length("other")) * MAX_SHARE)))
-    return verified.select("line").distinct()
+    a, b = found.select("line", "check", "string", "first"), found.select(F.col("line").alias("earlier"), F.col("string").alias("other"), F.col("first").alias("before"))
+    # levenshtein() with a bound looks at a band of that width only and says -1 beyond it
+    apart, most = F.levenshtein("string", "other", EDITS), F.greatest(F.length("string"), F.length("other")) * MAX_SHARE
+    verified = met.join(a, "line").join(b, "earlier").where((F.col("before") < F.col("first")) & apart.between(0, EDITS) & (apart <= most))
+    gone = materialise(verified.select("line", "check").distinct(), "line-near")
+    discard(met)
+    discard(found)
+    return gone
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """d, h (document), kept: the numbers of the lines that stay. docs: doc_id, text, text_hash."""
     buckets = buckets_for(docs)
     classes = materialise(earliest_classes(docs), "line-classes")
-    gone = materialise(near_lines(docs, classes, buckets), "line-near")
-    release_shuffles(docs.sparkSession)
-    stay = classes.join(gone, "line", "left_anti").select("first.*")
+    gone = near_lines(docs, classes, buckets)
+    stay = classes.join(gone, ["line", "check"], "left_anti").select("first.*")
     return stay.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list("number").alias("kept"))
 
 
@@ -296,15 +316,15 @@ def with_kept(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows with all their columns; text (and n_chars, if there) without the lines that go."""
-    schema = docs.schema
+    """The rows with all their columns; text (and n_chars, if it is a whole number) without the lines that go."""
+    schema, counted = docs.schema, counts_chars(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = [rebuilt(t, k)[0] for t, k in zip(b.column("text").to_pylist(), b.column("__gf_kept").to_pylist())]
             cols = {f.name: b.column(i) for i, f in enumerate(b.schema) if f.name != "__gf_kept"}
             cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in cols:
+            if counted:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
