@@ -2,56 +2,61 @@
 
 A byte is removed if it lies in a string of LENGTH bytes that also starts in a document with a smaller doc_id.
 
-1. Each window of LENGTH bytes is anchored at the smallest hash among its GRAM-byte grams, so equal windows have equal anchors.
-   Neighbouring windows with the same anchor are one segment; equal segments are one class, which a hash of its bytes names.
-   Every occurrence of a class outside its first document is removed at once, within a task where it can be, else after the
-   classes of an anchor have met.
-2. Where an anchor has several classes, their strings overlap in part. Each is read from its first document and sent to the
-   anchor's shard. The shard builds the suffix array of its strings, keeps of it the run-length compressed Burrows-Wheeler
-   transform with a sample at the end of each run of suffixes that share LENGTH bytes (the first document of the run), and
-   streams all strings backwards through it by LF steps: a position's match with earlier documents reaches LENGTH where the
-   sample of its run is an earlier document.
+1. Each window of LENGTH bytes is anchored at the smallest hash among its GRAM-byte grams, so equal windows have equal anchors
+   and meet under them. Neighbouring windows with the same anchor are one string. This only decides what meets.
+2. Strings whose anchor several documents have are indexed, shard by shard: the run-length compressed Burrows-Wheeler transform
+   of a shard's distinct strings, with the smallest document sampled where a run of matches ends (see RunLengthIndex). All
+   strings are streamed backwards through it; the matching statistics, cut at LENGTH, say for each position the smallest
+   document that matches LENGTH bytes from there. Where that is an earlier one, the window is marked. A task that reads texts
+   does so for the strings it has read and sends on only those with a window that is its task's first; what is sent meets in
+   the anchor's bucket and goes through an index there.
 3. What is marked is cut out of the texts.
 
-An anchor with more than CROWD classes does not go to one shard: its windows are sent one by one, to the shard of the window's
-hash, and equal windows of a task as one.
+An anchor with more than CROWD strings in a bucket, or LOCAL in a task, does not stay in one bucket: its windows are sent one by
+one to the bucket of the window's hash, where they meet in the same way. A task that does so leaves a notice in the anchor's
+bucket, which then sends on what other tasks sent there.
 
-Cases: null text is empty; a text shorter than LENGTH bytes stays; rows with equal doc_id do not remove each other's bytes;
-rows with a null doc_id stay whole and remove nothing; no rows give no rows.
+Cases: null text is empty; a text shorter than LENGTH bytes stays; texts of any length are read whole, in pieces of 4 MiB that
+overlap; rows with equal doc_id do not remove each other's bytes; rows with a null doc_id stay whole and remove nothing; other
+columns stay as they are, whatever they are called, but for an n_chars of whole numbers, which follows the text; no rows give
+no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scatter, U, buckets_for, materialise, mix, prefix_hash, release_shuffles, slices, span_hash, unpack
+from .common import Scatter, U, buckets_for, counts_chars, materialise, mix, slices, unpack
 
-LENGTH, GRAM, CROWD = 50, 16, 4096
-SPAN = LENGTH - GRAM + 1  # grams in a window
-WIDEST = SPAN - 1 + LENGTH  # bytes in a segment
+LENGTH, GRAM, CROWD, LOCAL = 50, 16, 4096, 1024
+SPAN = LENGTH - GRAM + 1  # grams in a window, and windows in a string, at most
+WIDEST = 88  # bytes of the longest string, in whole words of eight
+SHARD_BYTES = 3 << 19
 _PIECE = 1 << 22
 _PLACE = U((1 << 24) - 1)
-SEGMENT = ["<u4", "<u4", "<u2", "<i8", "<u4", "<u2", "u1"]  # anchor, class (48 bits), doc, start, text tag, windows
-MARK = ["<i8", "<u2", "<u4", "<u4"]  # doc, text tag, start, bytes
-REQUEST = ["<i8", "<u2", "<u4", "u1", "<u8", "<u8", "u1"]  # doc, text tag, start, windows, group, class, crowded
-STRING = ["<u8", "<u8", "<i8", "<u2", "<u4", "u1", f"V{WIDEST}"]  # group, class, doc, text tag, start, windows, bytes
+SEGMENTS, MARKS, WINDOWS, NOTICES = 0, 1, 2, 3  # kinds of blobs
+STRING = ["<u8", "<i8", "<i8", "<u4", "u1", f"V{WIDEST}"]  # anchor, doc, text tag, start, windows, bytes
+MARK = ["<i8", "<i8", "<u4", "<u4"]  # doc, text tag, start, bytes
 
-# ---------------------------------------------------------------- anchors and segments
+# ---------------------------------------------------------------- anchors and strings
 
 
-def segments(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, class hash, first window, windows) of the segments of a text's bytes."""
-    out = []
+def segments(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash, first window, windows, bytes padded to WIDEST) of the strings of a text's bytes, piece by piece."""
     for lo in range(0, len(a) - LENGTH + 1, _PIECE):
         piece = np.ascontiguousarray(a[lo : lo + _PIECE + LENGTH - 1])
         word = np.ndarray((len(piece) - 7,), "<u8", piece, 0, (1,))
-        gram = mix(word[: len(piece) - GRAM + 1] * U(0x9FB21C651E98DF25) + mix(word[GRAM - 8 :]))
+        head, tail = word[: len(piece) - GRAM + 1], word[GRAM - 8 :]
+        gram = mix(head * U(0x9FB21C651E98DF25) + mix(tail))
+        # a gram of one repeated byte pair stands in too many places: it is an anchor only where a window has no other
+        gram = np.where((head == tail) & (head == (head << U(16) | head >> U(48))), gram | U(1 << 63), gram >> U(1))
         low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
         width = 1
         while width < SPAN:  # the smallest of SPAN neighbours, the leftmost of equals
@@ -60,117 +65,50 @@ def segments(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             width += step
         anchor = (low & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        end = np.append(first[1:], len(anchor))
-        anchor = anchor[first]
-        name = mix(span_hash(prefix_hash(piece), first, end - 1 + LENGTH) + (anchor - first).astype(U) * U(0xC2B2AE3D27D4EB4F))
-        out.append((mix(gram[anchor]), name, first + lo, end - first))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        size = np.diff(np.append(first, len(anchor)))
+        yield mix(gram[anchor[first]]), first + lo, size, strings_at(piece, first, size)
 
 
-def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
-    """pmod(xxhash64(doc_id), n) as Spark has it, vectorised."""
+def strings_at(a: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """(strings, WIDEST): the bytes of so many windows from each place on, then zeros."""
+    padded = np.concatenate((a, np.zeros(WIDEST, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, WIDEST)[at]
+    rows[np.arange(WIDEST)[None, :] >= (windows + LENGTH - 1)[:, None]] = 0
+    return rows
+
+
+def xx64(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """xxhash64 of longs as Spark has it, vectorised."""
     p1, p2, p3, p4, p5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, r: (x << U(r)) | (x >> U(64 - r))
-    h = np.full(len(doc), 42 + int(p5) + 8, U) ^ (turn(doc.astype(np.int64).view(U) * p2, 31) * p1)
+    h = (np.full(len(value), seed, U) + p5 + U(8)) ^ (turn(value.astype(np.int64).view(U) * p2, 31) * p1)
     h = turn(h, 27) * p1 + p4
     h = (h ^ (h >> U(33))) * p2
     h = (h ^ (h >> U(29))) * p3
-    return ((h ^ (h >> U(32))).view(np.int64) % n).astype(np.int32)
-
-
-def repeats(key: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
-    """Whether a row's doc is not the smallest of its key."""
-    order, _, least = first_of_class(key, doc)
-    out = np.zeros(len(doc), bool)
-    out[order] = doc[order] > least
-    return out
-
-
-def first_of_class(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by key, then doc; whether each row of it starts a class of equal key; the class's smallest doc."""
-    order = np.lexsort((doc, *key[::-1]))
-    new = np.ones(len(doc), bool)
-    if len(doc):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
-    size = np.diff(np.append(np.flatnonzero(new), len(doc)))
-    return order, new, np.repeat(doc[order][new], size)
+    return h ^ (h >> U(32))
 
 
-def blobs_of(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
-    out: dict[int, list[tuple[int, bytes]]] = {0: [], 1: [], 2: []}
-    for b in batches:
-        for kind, n, blob in zip(b.column("kind").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist()):
-            out[kind].append((n, blob))
-    return out
-
-
-def meet_segments(docs: DataFrame, n: int) -> DataFrame:
-    """Marks (kind 1) and requests (kind 2), dealt by document. docs: doc_id, tag, text, no null id."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Scatter(1, n, MARK)
-
-        def combine(cols):
-            later = repeats(cols[1:4], cols[4])
-            mark(marks, cols[4][later], cols[6][later], cols[5][later], cols[7][later].astype(np.uint32) + LENGTH - 1, n)
-            return [c[~later] for c in cols]
-
-        out = Scatter(0, n, SEGMENT, combine=combine)
-        for b in slices(batches, 64):
-            for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist()):
-                anchor, name, at, size = segments(np.frombuffer((text or "").encode(), np.uint8))
-                out.add((anchor % U(n)).astype(np.int32), anchor >> U(32), name >> U(32), name & U(0xFFFF), np.full(len(at), doc, np.int64), at, np.full(len(at), tag), size)
-                if out.full():
-                    yield from out.flush()
-                    yield from marks.flush()
-        yield from out.flush()
-        yield from marks.flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = blobs_of(batches)
-        marks, requests = Scatter(1, n, MARK), Scatter(2, n, REQUEST)
-        for x in blobs[1]:
-            doc, tag, at, size = unpack([x], MARK)
-            marks.add(bucket_of(doc, n), doc, tag, at, size)
-        anchor, high, low, doc, at, tag, size = unpack(blobs[0], SEGMENT)
-        name = high.astype(U) << U(16) | low
-        order, new, least = first_of_class([anchor, name], doc)
-        anchor, name, doc, at, tag, size = (x[order] for x in (anchor, name, doc, at, tag, size))
-        later = doc > least
-        mark(marks, doc[later], tag[later], at[later], size[later].astype(np.uint32) + LENGTH - 1, n)
-        if len(anchor):
-            group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-            number = np.cumsum(group) - 1
-            start = np.flatnonzero(group)
-            classes = np.bincount(number[new])[number]
-            several = (np.minimum.reduceat(least, start) < np.maximum.reduceat(least, start))[number]
-            ask = ~later & several  # classes of one document cannot remove each other
-            where = mix(anchor[ask].astype(U))  # anchors that differ only in the bits the bucket tells may share a shard
-            requests.add(bucket_of(doc[ask], n), doc[ask], tag[ask], at[ask], size[ask], where, name[ask], (classes[ask] > CROWD).astype(np.uint8))
-        yield from marks.flush()
-        yield from requests.flush()
-
-    dealt = docs.mapInArrow(deal, Scatter.SCHEMA).repartitionById(n, F.col("bucket"))
-    return dealt.select("kind", "n", "blob").mapInArrow(meet, Scatter.SCHEMA)
-
-
-def mark(marks: Scatter, doc, tag, at, size, n: int) -> None:
-    marks.add(bucket_of(doc, n), doc, tag, at, size)
+def bucket_of(doc: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    """pmod(xxhash64(doc_id, tag), n), as beside() deals the texts."""
+    return (xx64(tag, xx64(doc, U(42))).view(np.int64) % n).astype(np.int32)
 
 
 # ---------------------------------------------------------------- the index of a shard
 
 
 class RunLengthIndex:
-    """Over strings of bytes, each of a document: the run-length compressed Burrows-Wheeler transform with samples.
+    """Over distinct strings of bytes, each with the smallest document that has it: a run-length compressed Burrows-Wheeler
+    transform with samples.
 
-    start, base: first row and LF image of each run of equal symbols. run, end, sample: first row, end and smallest document
-    of each run of several suffixes that agree on their first `length` bytes. entry: the row of each string's last window,
-    where its stream starts."""
+    start, base: first row and LF image of each run of equal symbols. The rows that agree on their first `length` bytes are
+    the occurrences of one match. If one run holds all of them, and their LF image is all of another match's rows, both
+    matches occur in the same documents, so the second needs no sample: whoever streams from one to the other keeps the value.
+    Samples (lo, hi, least: rows, smallest document) therefore stand only where a match's rows end a run or are met by others,
+    and where a string's stream begins. entry: the row of each string's last window, where its stream starts."""
 
     def __init__(self, rows: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int = LENGTH):
         """rows: (strings, widest) uint8, of which the first size bytes count."""
-        self.length, self.size, self.doc = length, size.astype(np.int64), doc
+        self.length, self.size = length, size.astype(np.int64)
         width = rows.shape[1]
         used = np.arange(width + 1)[None, :] <= self.size[:, None]  # with an end mark, 0
         symbol = np.zeros((len(rows), width + 1), np.uint16)
@@ -189,14 +127,22 @@ class RunLengthIndex:
         by = np.argsort(head, kind="stable")
         self.base = np.empty(len(by), np.int64)
         self.base[by] = np.cumsum(run_size[by]) - run_size[by]
-        run = np.flatnonzero(~alike)
-        end = np.append(run[1:], len(alike))
-        several = end - run > 1
-        self.run, self.end = run[several], end[several]
-        self.sample = np.minimum.reduceat(doc[owner[order]], run)[several] if len(run) else doc[:0]
         row = np.empty(len(order), np.int64)
         row[order] = np.arange(len(order))
         self.entry = row[first + np.maximum(self.size - length, 0)]
+        lo = np.flatnonzero(~alike)
+        hi = np.append(lo[1:], len(alike))
+        least = np.minimum.reduceat(doc[owner[order]], lo) if len(lo) else doc[:0]
+        run = np.searchsorted(self.start, lo, "right") - 1
+        image = self.base[run] + lo - self.start[run]
+        whole = (hi <= np.append(self.start[1:], len(before))[run]) & (before[lo] > 0)
+        to = np.searchsorted(lo, image, "right") - 1
+        kept = whole & (lo[to] == image) & (hi[to] - lo[to] == hi - lo) & (left[order[lo]] >= length)
+        sampled = np.ones(len(lo), bool)
+        sampled[to[kept]] = False
+        sampled[np.searchsorted(lo, self.entry, "right") - 1] = True
+        sampled &= left[order[lo]] >= length
+        self.lo, self.hi, self.least = lo[sampled], hi[sampled], least[sampled]
 
     def suffixes(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix array, equal suffixes in the order of their strings; whether each suffix agrees with the one before on
@@ -242,119 +188,72 @@ class RunLengthIndex:
         return order, alike
 
     def stream(self) -> np.ndarray:
-        """(strings, widest) bool: where a match of `length` bytes with an earlier document starts. All strings step back
-        from their last window at once."""
+        """(strings, windows): the smallest document that matches `length` bytes from there on, the largest number where there
+        is no window. All strings step back from their last window at once."""
         windows = np.maximum(self.size - self.length + 1, 0)
-        out = np.zeros((len(self.size), int(self.size.max(initial=0)) + 1), bool)
+        out = np.full((len(self.size), max(int(windows.max(initial=0)), 1)), np.iinfo(np.int64).max)
         active = np.flatnonzero(windows > 0)
-        row = self.entry[active]
+        row, known = self.entry[active], np.zeros(len(active), np.int64)
         for step in range(int(windows.max(initial=0))):
             if step:
                 going = windows[active] > step
-                active, row = active[going], row[going]
+                active, row, known = active[going], row[going], known[going]
                 run = np.searchsorted(self.start, row, "right") - 1
                 row = self.base[run] + row - self.start[run]
-            if len(self.run):
-                at = np.searchsorted(self.run, row, "right") - 1
-                out[active, windows[active] - 1 - step] = (at >= 0) & (row < self.end[at]) & (self.sample[at] < self.doc[active])
+            at = np.maximum(np.searchsorted(self.lo, row, "right") - 1, 0)
+            known = np.where((row >= self.lo[at]) & (row < self.hi[at]), self.least[at], known)
+            out[active, windows[active] - 1 - step] = known
         return out
 
 
-# ---------------------------------------------------------------- texts with what concerns them
-
-
-def beside(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """The texts (kind 9) and the blobs of their bucket, blobs first. docs: doc_id, tag, text and others."""
-    rest = [c for c in docs.columns]
-    blobs = found.select("kind", "bucket", "n", "blob", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in rest])
-    texts = docs.select(F.lit(9).alias("kind"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"), F.lit(0)).alias("bucket"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("blob"), *rest)
-    return blobs.unionByName(texts).repartitionById(n, F.col("bucket")).sortWithinPartitions("kind").drop("bucket")
-
-
-class Concerns:
-    """A bucket's blobs of one kind, by document and text tag; batches are blobs first, then texts."""
-
-    def __init__(self, dtypes: list):
-        self.dtypes, self.blobs, self.cols = dtypes, [], None
-
-    def take(self, b: pa.RecordBatch) -> pa.RecordBatch:
-        """Keeps the batch's blobs and returns its texts."""
-        kind = np.array(b.column("kind"))
-        own = int((kind != 9).sum())
-        self.blobs += zip(b.column("n").slice(0, own).to_pylist(), b.column("blob").slice(0, own).to_pylist())
-        if own < b.num_rows and self.cols is None:
-            cols = unpack(self.blobs, self.dtypes)
-            order = np.lexsort((cols[2], cols[1], cols[0]))
-            self.cols, self.blobs = [c[order] for c in cols], []
-        return b.slice(own)
-
-    def of(self, doc: int, tag: int) -> list[np.ndarray]:
-        i, j = np.searchsorted(self.cols[0], [doc, doc], "left")[0], np.searchsorted(self.cols[0], doc, "right")
-        k, m = i + np.searchsorted(self.cols[1][i:j], tag, "left"), i + np.searchsorted(self.cols[1][i:j], tag, "right")
-        return [c[k:m] for c in self.cols[2:]]
-
-
-def answer(docs: DataFrame, found: DataFrame, n: int, shards: int) -> DataFrame:
-    """Marks (kind 1) for the requests in found."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        concerns, marks = Concerns(REQUEST), Scatter(1, n, MARK)
-
-        def combine(cols):
-            """Equal strings of a group: the first document's stand for all."""
-            later = repeats([cols[1], cols[2], cols[6]], cols[3])
-            mark(marks, cols[3][later], cols[4][later], cols[5][later], cols[6][later].astype(np.uint32) + LENGTH - 1, n)
-            return [c[~later] for c in cols]
-
-        out = Scatter(0, shards, STRING, combine=combine)
-        for b in batches:
-            texts = concerns.take(b)
-            for t in slices(iter([texts]), 256):
-                for doc, tag, text in zip(t.column("doc_id").to_pylist(), t.column("tag").to_pylist(), t.column("text").to_pylist()):
-                    if doc is None:
-                        continue
-                    at, size, group, name, crowded = concerns.of(doc, tag)
-                    if not len(at):
-                        continue
-                    a = np.concatenate((np.frombuffer(text.encode(), np.uint8), np.zeros(WIDEST, np.uint8)))
-                    at, size, crowded = at.astype(np.int64), size.astype(np.int64), crowded > 0
-                    if crowded.any():  # each window for itself
-                        many = size[crowded]
-                        one = np.repeat(at[crowded], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        c = prefix_hash(a[one.min() : one.max() + LENGTH])
-                        whole = span_hash(c, one - one.min(), one - one.min() + LENGTH)
-                        at, size, group, name = (np.concatenate((x[~crowded], y)) for x, y in ((at, one), (size, np.ones(len(one), np.int64)), (group, whole), (name, whole)))
-                    for k in range(0, len(at), 1 << 14):
-                        s, z, g, c = (x[k : k + (1 << 14)] for x in (at, size, group, name))
-                        rows = np.where(np.arange(WIDEST)[None, :] < (z + LENGTH - 1)[:, None], a[s[:, None] + np.arange(WIDEST)], 0).astype(np.uint8)
-                        out.add((g % U(shards)).astype(np.int32), g, c, np.full(len(s), doc, np.int64), np.full(len(s), tag), s, z, rows.view(f"V{WIDEST}").reshape(-1))
-                        if out.full():
-                            yield from out.flush()
-                            yield from marks.flush()
-        yield from out.flush()
-        yield from marks.flush()
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Scatter(1, n, MARK)
-        blobs = blobs_of(batches)
-        for x in blobs[1]:
-            doc, tag, at, size = unpack([x], MARK)
-            mark(marks, doc, tag, at, size, n)
-        group, name, doc, tag, at, size, rows = unpack(blobs[0], STRING)
-        if len(doc):
-            order = np.lexsort((doc, size, name, group))  # a class that a document holds several times is one string
-            same = np.zeros(len(doc), bool)
-            same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (doc, size, name, group)], axis=0)
-            one = order[~same]
-            flags = RunLengthIndex(rows[one].view(np.uint8).reshape(len(one), WIDEST), size[one].astype(np.int64) + LENGTH - 1, doc[one]).stream()
-            doc, tag, at = doc[order], tag[order], at[order]
-            which, first, count = runs(flags[np.cumsum(~same) - 1])
-            mark(marks, doc[which], tag[which], at[which].astype(np.int64) + first, count + LENGTH - 1, n)
-        yield from marks.flush()
-
-    asked = found.where("kind = 2")
-    sent = beside(docs, asked, n).mapInArrow(read, Scatter.SCHEMA).repartitionById(max(shards, n), F.col("bucket"))
-    return sent.select("kind", "n", "blob").mapInArrow(index, Scatter.SCHEMA)
+def grouped(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The entries, in order of anchor, whose anchor several documents have."""
+    order = np.argsort(anchor, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(anchor[order]) != 0))) if len(order) else order
+    if not len(first):
+        return order
+    several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+    return order[np.repeat(several, np.diff(np.append(first, len(order))))]
+
+
+def string_classes(anchor: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by anchor, bytes and document; whether each entry of it is the first of its string)."""
+    word = np.ascontiguousarray(rows).view("<u8")
+    name = mix(sum(mix(word[:, k] + U(k + 1)) * U(2 * k + 1) for k in range(word.shape[1])))
+    order = np.lexsort((doc, name, anchor))
+    new = np.ones(len(order), bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (anchor[a] != anchor[b]) | (name[a] != name[b])
+    same = np.flatnonzero(~new)  # of one hash: told apart by their bytes
+    new[same] = (word[order[same]] != word[order[same - 1]]).any(1)
+    return order, new
+
+
+def matched(anchor: np.ndarray, doc: np.ndarray, windows: np.ndarray, rows: np.ndarray, crowd: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries; for each its windows that match an earlier document, as booleans; the crowded anchors, of more than `crowd`
+    strings, whose entries are left out). Entries of anchors that only one document has are not among them."""
+    order, new = string_classes(anchor, doc, rows)
+    group = np.concatenate(([True], anchor[order][1:] != anchor[order][:-1])) if len(order) else new
+    number = np.cumsum(group) - 1
+    many = np.bincount(number, new)[number] > crowd if len(order) else new
+    crowded = np.unique(anchor[order[many]])
+    order, new, group = order[~many], new[~many], group[~many]
+    entry_class = np.cumsum(new) - 1
+    one = order[new]
+    flags = np.zeros((len(order), SPAN), bool)
+    upto = np.cumsum(windows[one].astype(np.int64) + LENGTH)
+    heads = np.flatnonzero(group[new])  # a shard ends where an anchor does
+    i = 0
+    while i < len(one):
+        fits = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SHARD_BYTES, "right"))
+        k = int(np.searchsorted(heads, fits, "right")) - 1
+        j = len(one) if fits >= len(one) else int(heads[k]) if heads[k] > i else int(heads[k + 1]) if k + 1 < len(heads) else len(one)
+        index = RunLengthIndex(rows[one[i:j]], windows[one[i:j]].astype(np.int64) + LENGTH - 1, doc[one[i:j]])
+        least = index.stream()
+        lo, hi = np.searchsorted(entry_class, [i, j])
+        flags[lo:hi, : least.shape[1]] = least[entry_class[lo:hi] - i] < doc[order[lo:hi]][:, None]
+        i = j
+    return order, flags, crowded
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -385,82 +284,218 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, text; the tag tells texts of one doc_id apart."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", tag_of(docs).alias("tag"), "text")
+# ---------------------------------------------------------------- where strings meet
+
+
+def columns_of(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return unpack([(n, open_(blob)) for n, blob in blobs], STRING)
+
+
+class Meeting:
+    """Strings as they are gathered in a task: what the task's own index marks, and what must be sent on."""
+
+    def __init__(self, n: int, crowd: int, windows: bool):
+        """windows: whether crowded anchors' windows are sent on one by one."""
+        self.n, self.crowd, self.windows = n, crowd, windows
+        self.marks, self.notices = Scatter(MARKS, n, MARK), Scatter(NOTICES, n, ["<u8"])
+        self.single = Scatter(WINDOWS, n, STRING, 48 << 20, self.settle, True) if windows else None
+
+    def mark(self, cols: list[np.ndarray], entries: np.ndarray, flags: np.ndarray) -> None:
+        _, doc, tag, at = cols[:4]
+        which, first, count = runs(flags)
+        e = entries[which]
+        self.marks.add(bucket_of(doc[e], tag[e], self.n), doc[e], tag[e], at[e].astype(np.int64) + first, count + LENGTH - 1)
+
+    def settle(self, cols: list[np.ndarray]) -> list[np.ndarray]:
+        """For Scatter: bucket and STRING columns, without the entries all of whose windows are marked."""
+        entries, flags = self.take(cols[1:])
+        keep = np.ones(len(cols[0]), bool)
+        keep[entries] = flags.sum(1) < cols[5][entries]
+        if self.gone is not None:
+            keep &= ~np.isin(cols[1], self.gone)
+        return [c[keep] for c in cols]
+
+    def take(self, cols: list[np.ndarray], noticed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Marks what the strings' index finds; crowded anchors' windows go on one by one."""
+        anchor, doc, tag, at, size, rows = cols
+        self.gone = None
+        shared = grouped(anchor, doc)
+        if noticed is not None and len(noticed):
+            known = np.isin(anchor, noticed)
+            self.send_windows([c[known] for c in cols])
+            shared = shared[~known[shared]]
+        some = rows[shared].view(np.uint8).reshape(-1, WIDEST)
+        entries, flags, crowded = matched(anchor[shared], doc[shared], size[shared], some, self.crowd if self.windows else 1 << 62)
+        entries = shared[entries]
+        self.mark(cols, entries, flags)
+        if len(crowded):
+            self.gone = crowded
+            own = np.isin(anchor, crowded)
+            self.notices.add((crowded % U(self.n)).astype(np.int32), crowded)
+            self.send_windows([c[own] for c in cols])
+        return entries, flags
+
+    def send_windows(self, cols: list[np.ndarray]) -> None:
+        for k in range(0, len(cols[0]), 1 << 15):
+            _, doc, tag, at, size, rows = (c[k : k + (1 << 15)] for c in cols)
+            text = rows.view(np.uint8).reshape(-1)
+            own = np.repeat(np.arange(len(doc)), size)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(size.astype(np.int64)) - size, size)
+            one = np.ones(len(own), np.int64)
+            each = strings_at(text, own * WIDEST + step, one)
+            word = each.view("<u8")
+            key = mix(sum(mix(word[:, i] + U(i + 1)) * U(2 * i + 1) for i in range(7)))
+            self.single.add((key % U(self.n)).astype(np.int32), key, doc[own], tag[own], at[own].astype(np.int64) + step, one, each.view(f"V{WIDEST}")[:, 0])
+
+    def flush(self, all_: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.single is not None and (all_ or self.single.full()):
+            yield from self.single.flush()
+        yield from self.marks.flush()
+        yield from self.notices.flush()
+
+
+def blobs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "n", "blob")))
+
+
+def rows_of(kinds: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kinds), Scatter.ARROW)], schema=Scatter.ARROW)
+
+
+def deal(docs: DataFrame, n: int) -> DataFrame:
+    """Strings dealt by anchor, and what is marked at once. docs: doc_id, tag, text, no null id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting = Meeting(n, LOCAL, True)
+        out = Scatter(SEGMENTS, n, STRING, 48 << 20, meeting.settle, True)
+        for b in slices(batches, 64):
+            for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist()):
+                for anchor, at, size, rows in segments(np.frombuffer((text or "").encode(), np.uint8)):
+                    out.add((anchor % U(n)).astype(np.int32), anchor, np.full(len(at), doc, np.int64), np.full(len(at), tag, np.int64), at, size, rows.view(f"V{WIDEST}")[:, 0])
+                    if out.full():
+                        yield from out.flush()
+                        yield from meeting.flush()
+        yield from out.flush()
+        yield from meeting.flush(True)
+
+    return docs.mapInArrow(run, Scatter.SCHEMA)
+
+
+def meet(dealt: DataFrame, n: int, kind: int, windows: bool) -> DataFrame:
+    """Marks, and single windows if so wanted, of the blobs of that kind; others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting, own, noticed = Meeting(n, CROWD, windows), [], []
+        for row in blobs_of(batches):
+            if row[0] == kind:
+                own.append(row[2:])
+            elif row[0] == NOTICES:
+                noticed.append(row[2:])
+            else:
+                yield rows_of([row])
+        meeting.take(columns_of(own), unpack(noticed, ["<u8"])[0])
+        yield from meeting.flush(True)
+
+    return dealt.repartitionById(n, F.col("bucket")).mapInArrow(run, Scatter.SCHEMA)
+
+
+# ---------------------------------------------------------------- texts with what concerns them
+
+
+def beside(docs: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """The texts (kind 9) and the blobs of their bucket, blobs first. docs: doc_id, tag, text and others. Rows without an id
+    have no marks and go anywhere."""
+    rest = docs.columns
+    blobs = found.select("kind", "bucket", "n", "blob", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in rest])
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", "tag"))
+    texts = docs.select(F.lit(9).alias("kind"), F.pmod(place, F.lit(n)).cast("int").alias("bucket"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("blob"), *rest)
+    return blobs.unionByName(texts).repartitionById(n, F.col("bucket")).sortWithinPartitions("kind").drop("bucket")
+
+
+class Concerns:
+    """A bucket's marks by document and text tag; batches are blobs first, then texts."""
+
+    def __init__(self):
+        self.blobs, self.cols = [], None
+
+    def take(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        """Keeps the batch's blobs and returns its texts."""
+        own = int((np.array(b.column("kind")) != 9).sum())
+        self.blobs += zip(b.column("n").slice(0, own).to_pylist(), b.column("blob").slice(0, own).to_pylist())
+        if own < b.num_rows and self.cols is None:
+            cols = unpack(self.blobs, MARK)
+            order = np.lexsort((cols[2], cols[1], cols[0]))
+            self.cols, self.blobs = [c[order] for c in cols], []
+        return b.slice(own)
+
+    def of(self, doc: int, tag: int) -> list[np.ndarray]:
+        i, j = np.searchsorted(self.cols[0], doc, "left"), np.searchsorted(self.cols[0], doc, "right")
+        k, m = i + np.searchsorted(self.cols[1][i:j], tag, "left"), i + np.searchsorted(self.cols[1][i:j], tag, "right")
+        return [c[k:m] for c in self.cols[2:]]
 
 
 def tag_of(docs: DataFrame) -> Column:
-    """16 bits of the text's hash where some doc_id repeats, else 0, which costs nothing to carry."""
+    """The text's hash where some doc_id repeats, to tell its rows apart, else 0, which costs nothing to carry."""
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
-        return F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    return F.lit(0)
+        return F.xxhash64(F.col("text").cast("string"))
+    return F.lit(0).cast("long")
 
 
 def marks_of(docs: DataFrame) -> tuple[DataFrame, int]:
-    """All marks, dealt by document, and the number of buckets. docs: as prepared() gives them."""
-    spark, n = docs.sparkSession, buckets_for(docs)
-    found = materialise(meet_segments(docs.where("doc_id IS NOT NULL"), n), "segments")
-    release_shuffles(spark)
-    asked = found.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    if not asked:
-        return found.where("kind = 1"), n
-    shards = max(n, asked * WIDEST // (3 << 19) + 1)
-    more = materialise(answer(docs, found, n, shards), "matches")
-    release_shuffles(spark)
-    return found.where("kind = 1").unionByName(more), n
-
-
-def cut(docs: DataFrame, row, schema: str, names: list[str]) -> DataFrame:
-    """row(doc_id, data, spans) of each document."""
-    docs = prepared(docs)
+    """All marks, dealt by document, and the number of buckets. docs: doc_id, tag, text."""
+    n = buckets_for(docs)
+    found = materialise(meet(deal(docs.where("doc_id IS NOT NULL").select("doc_id", "tag", "text"), n), n, SEGMENTS, True), "matches")
+    marks, single = found.where(F.col("kind") == MARKS), found.where(F.col("kind") == WINDOWS)
+    if single.head(1):
+        marks = marks.unionByName(materialise(meet(single, n, WINDOWS, False), "window-matches"))
+    return marks, n
+
+
+def cut(docs: DataFrame, row: Callable[[pa.RecordBatch, list[list[tuple[int, int]]]], pa.RecordBatch], schema) -> DataFrame:
+    """row(batch of doc_id, tag, text and others, the spans that go of each row) of all rows. docs: doc_id, tag, text, others."""
     marks, n = marks_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        concerns = Concerns(MARK)
+        concerns = Concerns()
         for b in batches:
             for t in slices(iter([concerns.take(b)]), 256):
-                rows = []
-                for doc, tag, text in zip(t.column("doc_id").to_pylist(), t.column("tag").to_pylist(), t.column("text").to_pylist()):
-                    rows.append(row(doc, (text or "").encode(), [] if doc is None else spans_of(*concerns.of(doc, tag))))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                ids = zip(t.column("doc_id").to_pylist(), t.column("tag").to_pylist())
+                yield row(t, [[] if doc is None else spans_of(*concerns.of(doc, tag)) for doc, tag in ids])
 
     return beside(docs, marks, n).mapInArrow(run, schema)
 
 
-def digest(doc: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple:
-    return doc, len(data), sum(j - i for i, j in spans), len(spans), hashlib.sha256(kept_bytes(data, spans)).hexdigest()
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row. docs: doc_id, text."""
+
+    def row(t: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        data = [(x or "").encode() for x in t.column("text").to_pylist()]
+        cols = [[len(x) for x in data], [sum(j - i for i, j in s) for s in spans], [len(s) for s in spans]]
+        sha = [hashlib.sha256(kept_bytes(x, s)).hexdigest() for x, s in zip(data, spans)]
+        return pa.RecordBatch.from_arrays([t.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs).alias("tag"), F.col("text").cast("string").alias("text"))
+    return cut(own, row, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return cut(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows with all their columns; text (and n_chars, if there) without the removed bytes; a character that loses a byte
-    goes with it."""
-    schema = docs.schema
+    """The rows with all their columns; text (and n_chars, if it is a whole number) without the removed bytes; a character that
+    loses a byte goes with it."""
+    schema, counted = docs.schema, counts_chars(docs.schema)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(docs).alias("tag"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(1).alias("__gf")).alias("__gf_rest"), F.col("doc_id").alias("__gf_doc"))
-    marks, n = marks_of(prepared(docs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        concerns = Concerns(MARK)
-        for b in batches:
-            for t in slices(iter([concerns.take(b)]), 256):
-                if not t.num_rows:
-                    continue
-                texts = []
-                for doc, tag, text in zip(t.column("doc_id").to_pylist(), t.column("tag").to_pylist(), t.column("text").to_pylist()):
-                    spans = [] if doc is None or text is None else spans_of(*concerns.of(doc, tag))
-                    texts.append(kept_bytes(text.encode(), spans).decode("utf-8", "ignore") if spans else text)
-                struct = t.column("__gf_rest")
-                cols = dict(zip(rest, struct.flatten())) | {"doc_id": t.column("__gf_doc"), "text": pa.array(texts, pa.string())}
-                if "n_chars" in cols:
-                    cols["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(cols["n_chars"].type)
-                yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema], [f.name for f in schema])
-
-    return beside(carried, marks, n).mapInArrow(run, schema)
+    def row(t: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts = [kept_bytes(x.encode(), s).decode("utf-8", "ignore") if x is not None and s else x for x, s in zip(t.column("text").to_pylist(), spans)]
+        cols = dict(zip(rest, t.column("__gf_rest").flatten())) | {"doc_id": t.column("__gf_doc"), "text": pa.array(texts, pa.string())}
+        if counted:
+            cols["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(cols["n_chars"].type)
+        return pa.RecordBatch.from_arrays([cols[f.name] for f in schema], [f.name for f in schema])
+
+    return cut(carried, row, schema)
