@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import materialise  # noqa: F401  used by the operators
+from ..storage import discard, materialise  # noqa: F401  used by the operators
 
 # ---------------------------------------------------------------- storage and sizing
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs before the next job needs the disk."""
-    for _ in range(2):  # the first round frees Python's handles, whose release reaches the JVM a moment later
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-
-
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate: file sizes for scans; 0 if it is unknown."""
     try:
@@ -33,10 +26,23 @@ def input_bytes(df: DataFrame) -> int:
     return 0 if size > 1 << 60 else size
 
 
-def buckets_for(df: DataFrame, bucket_bytes: int = 16 << 20) -> int:
+def bucket_bytes(spark: SparkSession) -> int:
+    """How much input (as stored) a bucket takes: 16 to 128 MiB, by what an executor has for each of its cores."""
+    conf = spark.sparkContext.getConf()
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get("spark.executor.memory", "1g").lower()).groups()
+    memory = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    return min(128 << 20, max(16 << 20, memory // int(conf.get("spark.executor.cores", "1")) // 32))
+
+
+def buckets_for(df: DataFrame) -> int:
     """Partitions for a shuffle of df's texts: grows with the input, never below the session's setting."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bucket_bytes), 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bucket_bytes(spark)), 1)
+
+
+def counts_chars(schema: T.StructType) -> bool:
+    """Whether the table has a column n_chars of whole numbers, which follows the text; any other of that name is left alone."""
+    return any(f.name == "n_chars" and isinstance(f.dataType, T.IntegralType) for f in schema)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,8 +67,10 @@ class Scatter:
     SCHEMA = "kind int, bucket int, n long, blob binary"
     ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
 
-    def __init__(self, kind: int, buckets: int, dtypes: list, flush_bytes: int = 24 << 20, combine=None):
+    def __init__(self, kind: int, buckets: int, dtypes: list, flush_bytes: int = 24 << 20, combine=None, squeezed: bool = False):
+        """squeezed: blobs are compressed here, so that wide ones cross to the JVM small."""
         self.kind, self.buckets, self.dtypes, self.flush_bytes, self.combine = kind, buckets, dtypes, flush_bytes, combine
+        self.squeeze = zstandard.ZstdCompressor(level=1).compress if squeezed else bytes
         self.parts, self.size = [], 0
 
     def add(self, bucket: np.ndarray, *cols: np.ndarray) -> None:
@@ -85,7 +93,7 @@ class Scatter:
         cols = [c[order] for c in cols[1:]]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
         ends = np.append(cuts[1:], len(bucket))
-        blobs = [b"".join(planes(c[i:j]) for c in cols) for i, j in zip(cuts, ends)]
+        blobs = [self.squeeze(b"".join(planes(c[i:j]) for c in cols)) for i, j in zip(cuts, ends)]
         if blobs:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(cuts), self.kind, np.int32)), pa.array(bucket[cuts]), pa.array((ends - cuts).astype(np.int64)), pa.array(blobs, pa.binary())], schema=self.ARROW

@@ -7,8 +7,10 @@ A document gets the language of highest cosine; the score is that language's sha
 
 The prototypes come from a sample of about PER_LANGUAGE documents of each language, chosen by a hash of the id.
 
-Cases: null text, or text without a letter, is `und` with score 0; rows with null language are not learned from; with no
-language to learn every document is `und`; ties go to the first language by name; no rows give no rows.
+Cases: null text, or text without a letter, is `und` with score 0; texts of any length are read whole; rows with null language
+are not learned from; with no language to learn every document is `und`; ties go to the first language by name; rows with
+equal doc_id are judged each; columns other than doc_id, text and lang are carried along or left, whatever they are called; no
+rows give no rows. What reaches the driver grows with the number of languages (DIM sums each), not with the documents.
 """
 
 from __future__ import annotations

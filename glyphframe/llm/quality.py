@@ -1,24 +1,28 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A text's features are its words, hashed to 2**WORD_BITS indices with values log(1 + count) at unit length, and STATS
-standardised statistics of its structure. The score is the logistic of w0 + sum(w x) + the weighted pairs, the latter in
+A text's features are its words, hashed to 2**WORD_BITS indices with values log(1 + count) at unit length, STATS standardised
+statistics of its structure, and the values of the metadata columns that the caller names, hashed to 2**META_BITS indices
+(numbers by the power of two they reach). The score is the logistic of w0 + sum(w x) + the weighted pairs, the latter in
 linear time as 0.5 * sum over factors of ((sum v x)**2 - sum (v x)**2). Fitted by AdaGrad on at most SAMPLE labelled rows.
 
-Cases: null text is empty and scored like any other; labels that are null are not learned from; without labels every score
-is 0.5; no rows give no rows.
+Cases: null text is empty and scored like any other, and a null metadata value is a value of its own; texts of any length are
+scored whole, of the sample only those of up to a 64th of SAMPLE_BYTES are learned from; labels that are null are not learned
+from, and of an id's conflicting labels the largest counts; without labels every score is 0.5; rows with equal doc_id are
+scored each; columns that are not named are not read, whatever they are called; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ALNUM, keyed, shingle_hashes, word_hashes
-from .features import bucket, learnable, sample, score_rows
+from .common import ALNUM, shingle_hashes, word_hashes
+from .features import bucket, learnable, sample, score_rows, with_meta
 
-WORD_BITS, FACTORS, SAMPLE, EPOCHS, THRESHOLD = 14, 6, 12000, 4, 0.3
+WORD_BITS, META_BITS, FACTORS, SAMPLE, EPOCHS, THRESHOLD = 14, 8, 6, 12000, 4, 0.3
 _CLASS = np.zeros(256, np.int64)  # 1 capital, 2 small or beyond ASCII, 3 digit, 4 white space, 5 .,;:'"- 6 other marks
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 1, 2, 2, 3
 _CLASS[[32, *range(9, 14)]] = 4
@@ -55,20 +59,23 @@ def statistics(text: str, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     )
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(text: str, meta: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = word_hashes(text.lower().encode(), ALNUM)[0]
     found, counts = np.unique(words, return_counts=True)
     value = np.log1p(counts).astype(np.float32)
-    return bucket(found, 5, WORD_BITS), value / max(float(np.sqrt((value * value).sum())), 1e-6), statistics(text, words, counts)
+    value /= max(float(np.sqrt((value * value).sum())), 1e-6)
+    known = np.unique([(1 << WORD_BITS) + STATS + zlib.crc32(m.encode()) % (1 << META_BITS) for m in meta]).astype(np.int64)
+    idx = np.concatenate((bucket(found, 5, WORD_BITS), known))
+    return idx, np.concatenate((value, np.full(len(known), 0.5, np.float32))), statistics(text, words, counts)
 
 
 class Machine:
-    """w0, w and V over 2**WORD_BITS word indices followed by STATS statistics."""
+    """w0, w and V over 2**WORD_BITS word indices, STATS statistics and 2**META_BITS metadata values."""
 
     def __init__(self, rows: list, seed: int = 3):
         stats = np.array([r[3] for r in rows], np.float64).reshape(len(rows), STATS)
         self.mean, self.scale = (stats.mean(0), stats.std(0) + 1e-6) if rows else (np.zeros(STATS), np.ones(STATS))
-        n = (1 << WORD_BITS) + STATS
+        n = (1 << WORD_BITS) + STATS + (1 << META_BITS)
         rng = np.random.default_rng(seed)
         self.w0, self.w, self.v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
         g0, gw, gv = 1e-6, np.full(n, 1e-6), np.full((n, FACTORS), 1e-6)
@@ -98,16 +105,16 @@ class Machine:
         sums = vx.sum(0)
         return self.w0 + float(self.w[i] @ x) + 0.5 * float(sums @ sums - (vx * vx).sum()), sums
 
-    def score(self, text: str) -> float:
-        p, _ = self.raw(*self.row(*features(text)))
+    def score(self, text: str, meta: list[str]) -> float:
+        p, _ = self.raw(*self.row(*features(text, meta)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, p))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> Machine:
-    """docs: doc_id, text; labels: doc_id and the label."""
+    """docs: as with_meta() gives them; labels: doc_id and the label."""
     return Machine(sample(docs, labels, label, rows, features))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = with_meta(spark.read.parquet(f"{sf_dir}/documents.parquet"), ("n_chars",))
     return score_rows(docs, fit(docs, learnable(spark, sf_dir)).score, THRESHOLD)

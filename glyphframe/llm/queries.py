@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
@@ -20,7 +19,7 @@ from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_packing, op3_language_id, op4_line_dedup, op5_quality, op6_bpe, op7_media, op8_simhash, op9_suffix_dedup, op10_toxicity)
-} | {"pipeline": corpus_pipeline.run}
+}
 
 #: Hashing, tokenising, learned scores and packing are beyond SQL; the tests hold these queries against brute force.
-ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLE_SQL: dict[str, str] = {}

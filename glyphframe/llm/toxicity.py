@@ -6,8 +6,10 @@ that comes again and again), pairs of neighbours and pairs with one word between
 useful ones at exactly zero, so the model that goes to the executors is the list of the others. Fitted on at most SAMPLE
 labelled rows, in the order of a hash of the id.
 
-Cases: null text is empty and scored by the bias alone; labels that are null are not learned from; without labels every
-score is 0.5; no rows give no rows.
+Cases: null text is empty and scored by the bias alone; texts of any length are scored whole, of the sample only those of up
+to a 64th of SAMPLE_BYTES are learned from; labels that are null are not learned from, and of an id's conflicting labels the
+largest counts; without labels every score is 0.5; rows with equal doc_id are scored each; columns other than doc_id and text
+are not read, whatever they are called; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ALNUM, U, keyed, word_hashes
-from .features import bucket, learnable, sample, score_rows
+from .common import ALNUM, U, word_hashes
+from .features import bucket, learnable, sample, score_rows, with_meta
 
 BITS, SAMPLE, EPOCHS, THRESHOLD = 20, 16000, 3, 0.5
 STEMS, REPEATS = (5, 7), (2, 4)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(text: str, meta: list[str] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words, *stems = word_hashes(text.lower().encode(), ALNUM, STEMS)
     mixed = words * U(0x9E3779B97F4A7C15)
     grams = [bucket(words, 1, BITS), bucket(mixed[:-1] + words[1:], 2, BITS), bucket(mixed[:-2] + words[2:], 3, BITS)]
@@ -64,7 +66,7 @@ class Ftrl:
     def __getstate__(self):
         return {"bias": self.bias, "index": self.index, "weight": self.weight, "_dense": None}
 
-    def score(self, text: str) -> float:
+    def score(self, text: str, meta: list[str] = ()) -> float:
         if self._dense is None:
             self._dense = np.zeros(1 << BITS, np.float32)
             self._dense[self.index] = self.weight
@@ -73,10 +75,10 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> Ftrl:
-    """docs: doc_id, text; labels: doc_id and the label."""
+    """docs: as with_meta() gives them; labels: doc_id and the label."""
     return Ftrl(sample(docs, labels, label, rows, features))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = with_meta(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return score_rows(docs, fit(docs, learnable(spark, sf_dir)).score, THRESHOLD)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from glyphframe.llm import bpe, fingerprints, langid, linededup, media, packing, quality, simhash, suffixes, toxicity  # noqa: E402
+from glyphframe.llm.features import with_meta  # noqa: E402
 from glyphframe.llm.common import Scatter, keyed, shingle_hashes, unpack, word_hashes  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, line string, bucket int, kind string"
@@ -175,15 +176,15 @@ def test_classifiers(spark, empty):
     df = spark.createDataFrame(data, "doc_id long, text string, y int")
     labels = df.select("doc_id", F.col("y").alias("toxic"), (1 - F.col("y")).alias("quality"))
     for op, label, threshold in ((toxicity, "toxic", 0.5), (quality, "quality", 0.3)):
-        model = op.fit(df.select("doc_id", "text"), labels, label)
-        got = {r.doc_id: r for r in op.score_rows(df.select("doc_id", "text"), model.score, threshold).collect()}
+        model = op.fit(with_meta(df), labels, label)
+        got = {r.doc_id: r for r in op.score_rows(with_meta(df), model.score, threshold).collect()}
         scores = np.array([got[i].score for i in range(240)])
         y = np.array([i % 3 == 0 for i in range(240)]) ^ (label == "quality")
         assert scores[y].mean() > scores[~y].mean() + 0.2 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= threshold) for r in got.values())
         assert got[5].held_out == (zlib.crc32(b"5") % 5 == 0)
-        blank = op.fit(df.select("doc_id", "text"), labels.limit(0), label)
-        assert blank.score("any") == pytest.approx(0.5, abs=0.02)
-        assert op.score_rows(empty.select("doc_id", "text"), model.score, threshold).count() == 0
+        blank = op.fit(with_meta(df), labels.limit(0), label)
+        assert blank.score("any", []) == pytest.approx(0.5, abs=0.02)
+        assert op.score_rows(with_meta(empty), model.score, threshold).count() == 0
 
 
 def test_machine_pairs_in_linear_time():
@@ -327,36 +328,42 @@ def brute_spans(rows, length=suffixes.LENGTH):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [suffixes.CROWD, 1])
+@pytest.mark.parametrize("crowd", [(suffixes.CROWD, suffixes.LOCAL), (1, 1), (1, 1 << 30)])
 def test_suffix_dedup(spark, docs, rows, empty, crowd, monkeypatch):
-    monkeypatch.setattr(suffixes, "CROWD", crowd)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    monkeypatch.setattr(suffixes, "CROWD", crowd[0])
+    monkeypatch.setattr(suffixes, "LOCAL", crowd[1])
     rng = random.Random(8)
-    passages = [prose(rng, 20) for _ in range(6)]
+    passages = [prose(rng, 20) for _ in range(6)] + ["-" * 200, "ab" * 90]
     more = [(100 + i, " ".join(rng.choice(passages)[rng.randint(0, 30) :] + prose(rng, rng.randint(0, 6)) for _ in range(4))) for i in range(60)]
-    for data in (rows, more):
-        got = [tuple(r) for r in suffixes.cut(frame(spark, data), suffixes.digest, schema, names).collect()]
+    # one id's texts are told apart: only the copy of an earlier document's goes
+    same_id = [(1, passages[0]), *((2, passages[0] + f" {i}" + prose(rng, 30)) for i in range(2)), *((2, prose(rng, 25)) for _ in range(300))]
+    for data in (rows, more, same_id):
+        got = [tuple(r) for r in suffixes.digests(frame(spark, data)).collect()]
         assert sorted(got, key=str) == brute_spans(data)
     out = suffixes.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(rows) and out.where("n_chars <> length(text)").count() == 0
     assert suffixes.dedup(empty).count() == 0
 
 
-def test_run_length_index_streams_matches():
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_run_length_index_streams_matches(letters):
     rng = random.Random(9)
-    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    strings = list({"".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(80)})
+    strings += [s[5:] for s in strings if len(s) > 30]  # matches that end with a string
+    strings = list(dict.fromkeys(strings))
     rows = np.zeros((len(strings), 40), np.uint8)
     for r, s in zip(rows, strings):
         r[: len(s)] = np.frombuffer(s.encode(), np.uint8)
     doc = np.array([rng.randint(0, 30) for _ in strings])
-    flags = suffixes.RunLengthIndex(rows, np.array([len(s) for s in strings]), doc, 6).stream()
+    index = suffixes.RunLengthIndex(rows, np.array([len(s) for s in strings]), doc, 6)
+    least = index.stream()
     for k, s in enumerate(strings):
         for i in range(len(s) - 5):
-            assert flags[k, i] == any(doc[j] < doc[k] and s[i : i + 6] in t for j, t in enumerate(strings))
+            assert least[k, i] == min(doc[j] for j, t in enumerate(strings) if s[i : i + 6] in t)
+    assert len(index.lo) < sum(max(len(s) - 5, 0) for s in strings) / 2
 
 
 def test_buckets_as_spark_hashes(spark):
     ids = [0, 1, -1, 1 << 40, -(1 << 63), (1 << 63) - 1]
-    want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x long").select(F.pmod(F.xxhash64("x"), F.lit(37)).cast("int")).collect()]
-    assert suffixes.bucket_of(np.array(ids, np.int64), 37).tolist() == want
+    want = [r[0] for r in spark.createDataFrame([(i, 7 - i % 5) for i in ids], "x long, y long").select(F.pmod(F.xxhash64("x", "y"), F.lit(37)).cast("int")).collect()]
+    assert suffixes.bucket_of(np.array(ids, np.int64), np.array([7 - i % 5 for i in ids]), 37).tolist() == want
