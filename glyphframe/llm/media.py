@@ -1,17 +1,24 @@
 """Media columns: signature sniffing.
 
-An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a value. At each hit the format's
-validator walks its structure (chunks and checksums, blocks, declared lengths) and returns the length it really has, or
-nothing. What is valid at byte 0 is the value's type, whatever type it was declared as; valid items further on, outside those
+An Aho-Corasick automaton finds the magic bytes of all known formats, and the end marks of those that are read from their
+end, in one pass over a value. At each hit the format's validator walks its structure (chunks and checksums, blocks, declared
+lengths) and returns the length it really has, or nothing. What is valid at byte 0 is the value's type, whatever type it was declared as; valid items further on, outside those
 already taken, are carved out. PNG is also written and read here, as the lossless container of sample payloads.
 
+A zip file and a PDF are read from their end records, which say where they begin, so parts written as a stream and files that
+were saved again are whole. A FLAC stream does not say where it ends: it reaches to the end of the value.
+
 Cases: null media has type null and nothing carved; bytes of no known structure are `application/octet-stream`; a damaged or
-cut value is of no known structure; no rows give no rows.
+cut value is of no known structure; of items that begin at one place the first listed format counts; values of any length are
+read whole, in time that grows with their length; a null text is an empty payload, and equal texts have equal media; of the
+table's columns only the named are read, whatever the others are called; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -119,38 +126,150 @@ def gzip_length(b: bytes, at: int) -> int:
     return 0
 
 
-def pdf_length(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 and b[at + 5 : at + 6].isdigit() else 0
+def mp4_length(b: bytes, at: int) -> int:
+    i, seen = at, set()
+    while i + 8 <= len(b):
+        size, kind = struct.unpack_from(">I", b, i)[0], b[i + 4 : i + 8]
+        if kind not in BOXES:
+            break
+        if size == 1 and i + 16 <= len(b):
+            (size,) = struct.unpack_from(">Q", b, i + 8)
+        size = size or len(b) - i
+        if size < 8 or i + size > len(b):
+            return 0
+        seen.add(kind)
+        i += size
+    return i - at if seen & {b"moov", b"moof", b"mdat"} else 0
+
+
+def ogg_length(b: bytes, at: int) -> int:
+    i, pages = at, 0
+    while i + 27 <= len(b) and b[i : i + 5] == b"OggS\0":
+        n = b[i + 26]
+        size = 27 + n + sum(b[i + 27 : i + 27 + n])
+        if i + size > len(b) or (not pages and not b[i + 5] & 2):
+            return 0
+        i, pages = i + size, pages + 1
+    return i - at
 
 
-def zip_length(b: bytes, at: int) -> int:
-    i, seen = at, 0
-    while i + 30 <= len(b) and b[i : i + 4] == b"PK\x03\x04":
-        flags, _, _, _, _, packed, _, n, m = struct.unpack_from("<HHHHIIIHH", b, i + 6)
-        if flags & 8:
+def flac_length(b: bytes, at: int) -> int:
+    i, first = at + 4, True
+    while i + 4 <= len(b):
+        head, n = b[i], int.from_bytes(b[i + 1 : i + 4], "big")
+        if first and (head & 127, n) != (0, 34):
             return 0
-        i, seen = i + 30 + n + m + packed, seen + 1
-    start = i
-    while i + 46 <= len(b) and b[i : i + 4] == b"PK\x01\x02":
-        i += 46 + sum(struct.unpack_from("<HHH", b, i + 28))
-    if i + 22 > len(b) or b[i : i + 4] != b"PK\x05\x06":
+        i, first = i + 4 + n, False
+        if head & 128:
+            return len(b) - at if b[i : i + 1] == b"\xff" and b[i + 1 : i + 2] in (b"\xf8", b"\xf9") else 0
+    return 0
+
+
+def mp3_length(b: bytes, at: int) -> int:
+    if at + 10 > len(b) or b[at + 3] > 4 or max(b[at + 6 : at + 10]) > 127:
+        return 0
+    i, frames = at + 10 + sum(x << 7 * (3 - k) for k, x in enumerate(b[at + 6 : at + 10])), 0
+    while i + 4 <= len(b) and b[i] == 0xFF and b[i + 1] & 0xE6 == 0xE2 and b[i + 1] & 0x18 != 8:
+        newest = b[i + 1] & 0x18 == 0x18
+        rate, hertz = BITRATES[newest][b[i + 2] >> 4], (*HERTZ, 0)[b[i + 2] >> 2 & 3] >> {0x18: 0, 0x10: 1, 0: 2}[b[i + 1] & 0x18]
+        if not rate or not hertz:
+            break
+        size = (144 if newest else 72) * rate * 1000 // hertz + (b[i + 2] >> 1 & 1)
+        if i + size > len(b):
+            break
+        i, frames = i + size, frames + 1
+    return i - at if frames > 1 else 0
+
+
+def tiff_length(b: bytes, at: int) -> int:
+    end = "<" if b[at : at + 2] == b"II" else ">"
+    size_of = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+    try:
+        (where,) = struct.unpack_from(end + "I", b, at + 4)
+        last, seen = 8, set()
+        while where and where not in seen:
+            seen.add(where)
+            (n,) = struct.unpack_from(end + "H", b, at + where)
+            last, lists = max(last, where + 6 + 12 * n), {}
+            for k in range(n):
+                tag, kind, count = struct.unpack_from(end + "HHI", b, at + where + 2 + 12 * k)
+                size = size_of[kind] * count
+                place = where + 10 + 12 * k if size <= 4 else struct.unpack_from(end + "I", b, at + where + 10 + 12 * k)[0]
+                last = max(last, place + size)
+                if tag in (273, 279, 324, 325) and kind in (3, 4):
+                    lists[tag] = struct.unpack_from(f"{end}{count}{'H' if kind == 3 else 'I'}", b, at + place)
+            for starts, sizes in ((273, 279), (324, 325)):
+                last = max([last, *(x + y for x, y in zip(lists.get(starts, ()), lists.get(sizes, ())))])
+            (where,) = struct.unpack_from(end + "I", b, at + where + 2 + 12 * n)
+    except (struct.error, KeyError):
         return 0
-    count, size, offset, note = struct.unpack_from("<HIIH", b, i + 10)
-    return i + 22 + note - at if (count, size, offset) == (seen, i - start, start - at) and i + 22 + note <= len(b) else 0
-
-
-FORMATS: dict[bytes, tuple[str, Callable[[bytes, int], int]]] = {
-    PNG: ("image/png", png_length),
-    b"GIF87a": ("image/gif", gif_length),
-    b"GIF89a": ("image/gif", gif_length),
-    b"RIFF": ("riff", riff_length),
-    b"BM": ("image/bmp", bmp_length),
-    b"\xff\xd8\xff": ("image/jpeg", jpeg_length),
-    b"\x1f\x8b": ("application/gzip", gzip_length),
-    b"%PDF-": ("application/pdf", pdf_length),
-    b"PK\x03\x04": ("application/zip", zip_length),
+    return last if seen and at + last <= len(b) else 0
+
+
+def zip_ends(b: bytes, marks: list[int]) -> dict[int, int]:
+    """Where each zip file begins, by its end records, and where it ends."""
+    out = {}
+    for e in marks:
+        if e + 22 > len(b):
+            continue
+        count, size, offset, note = struct.unpack_from("<HIIH", b, e + 10)
+        listed, at = e - size, e - size - offset
+        if at < 0 or not count or b[at : at + 4] != b"PK\x03\x04" or e + 22 + note > len(b):
+            continue
+        i = listed
+        while i + 46 <= e and b[i : i + 4] == b"PK\x01\x02" and b[at + (own := struct.unpack_from("<I", b, i + 42)[0]) : at + own + 4] == b"PK\x03\x04":
+            i, count = i + 46 + sum(struct.unpack_from("<HHH", b, i + 28)), count - 1
+        if i == e and not count:
+            out[at] = e + 22 + note
+    return out
+
+
+def pdf_ends(b: bytes, marks: list[int]) -> dict[int, int]:
+    """Where each PDF begins, by the place of the cross references that its last end mark names, and where it ends. Where the
+    named place is of no use, a PDF reaches from its head to the first end mark before the next head."""
+    out = {}
+    tables = [m.start() for m in re.finditer(rb"(?<!start)xref|\d+ \d+ obj", b)]
+    heads = [m.start() for m in re.finditer(rb"%PDF-\d", b)]
+    for e in marks:
+        tail = re.search(rb"startxref\s{1,9}(\d{1,19})\s{1,9}\Z", b[max(e - 60, 0) : e])
+        if not tail:
+            continue
+        start = max(e - 60, 0) + tail.start()
+        k = bisect.bisect_left(tables, start)
+        at = tables[k - 1] - int(tail[1]) if k else -1
+        if at < 0 or b[at : at + 5] != b"%PDF-":
+            k = bisect.bisect_left(heads, start)
+            if not k or heads[k - 1] in out:
+                continue
+            at = heads[k - 1]
+        out[at] = e + 5
+    return out
+
+
+#: Fixed values of the formats: top-level boxes, bit rates in thousands and sample rates of audio frames.
+BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"meta", b"sidx", b"styp", b"uuid", b"pdin", b"udta"}
+BITRATES = {True: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0], False: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0]}
+HERTZ = (44100, 48000, 32000)
+
+#: Magic bytes, how far into an item they stand, its type and validator; those without one are found by their end records.
+FORMATS: dict[bytes, tuple[int, str, Callable[[bytes, int], int] | None]] = {
+    PNG: (0, "image/png", png_length),
+    b"GIF87a": (0, "image/gif", gif_length),
+    b"GIF89a": (0, "image/gif", gif_length),
+    b"RIFF": (0, "riff", riff_length),
+    b"BM": (0, "image/bmp", bmp_length),
+    b"\xff\xd8\xff": (0, "image/jpeg", jpeg_length),
+    b"II*\0": (0, "image/tiff", tiff_length),
+    b"MM\0*": (0, "image/tiff", tiff_length),
+    b"\x1f\x8b": (0, "application/gzip", gzip_length),
+    b"ftyp": (4, "video/mp4", mp4_length),
+    b"OggS": (0, "application/ogg", ogg_length),
+    b"fLaC": (0, "audio/flac", flac_length),
+    b"ID3": (0, "audio/mpeg", mp3_length),
+    b"%PDF-": (0, "application/pdf", None),
+    b"PK\x03\x04": (0, "application/zip", None),
 }
+ENDS: dict[bytes, tuple[str, Callable[[bytes, list[int]], dict[int, int]]]] = {b"%%EOF": ("application/pdf", pdf_ends), b"PK\x05\x06": ("application/zip", zip_ends)}
 RIFF = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 UNKNOWN = "application/octet-stream"
 _MACHINE: list[ahocorasick.Automaton] = []
@@ -160,15 +279,25 @@ def found(media: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of the valid items, none inside another."""
     if not _MACHINE:
         machine = ahocorasick.Automaton()
-        for magic in FORMATS:
+        for magic in (*FORMATS, *ENDS):
             machine.add_word(magic.decode("latin-1"), magic)
         machine.make_automaton()
         _MACHINE.append(machine)
-    out, free = [], 0
-    for end, magic in sorted(_MACHINE[0].iter(media.decode("latin-1")), key=lambda x: x[0] - len(x[1])):
+    hits, marks = [], {}
+    for end, magic in _MACHINE[0].iter(media.decode("latin-1")):
         at = end + 1 - len(magic)
-        kind, length_of = FORMATS[magic]
-        if at >= free and (n := length_of(media, at)):
+        if magic in ENDS:
+            marks.setdefault(magic, []).append(at)
+        elif at >= FORMATS[magic][0]:
+            hits.append((at - FORMATS[magic][0], magic))
+    ends = {ENDS[magic][0]: ENDS[magic][1](media, places) for magic, places in marks.items()}
+    out, free = [], 0
+    for at, magic in sorted(hits, key=lambda x: x[0]):
+        _, kind, length_of = FORMATS[magic]
+        if at < free:
+            continue
+        n = length_of(media, at) if length_of else ends.get(kind, {}).get(at, at) - at
+        if n:
             out.append((at, n, RIFF[media[at + 8 : at + 12]] if kind == "riff" else kind))
             free = at + n
     return out
