@@ -70,7 +70,7 @@ class Scatter:
     def __init__(self, kind: int, buckets: int, dtypes: list, flush_bytes: int = 24 << 20, combine=None, squeezed: bool = False):
         """squeezed: blobs are compressed here, so that wide ones cross to the JVM small."""
         self.kind, self.buckets, self.dtypes, self.flush_bytes, self.combine = kind, buckets, dtypes, flush_bytes, combine
-        self.squeeze = zstandard.ZstdCompressor(level=1).compress if squeezed else bytes
+        self.squeeze = zstandard.ZstdCompressor(level=3).compress if squeezed else bytes
         self.parts, self.size = [], 0
 
     def add(self, bucket: np.ndarray, *cols: np.ndarray) -> None:

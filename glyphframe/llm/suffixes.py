@@ -8,8 +8,8 @@ A byte is removed if it lies in a string of LENGTH bytes that also starts in a d
    of a shard's distinct strings, with the smallest document sampled where a run of matches ends (see RunLengthIndex). All
    strings are streamed backwards through it; the matching statistics, cut at LENGTH, say for each position the smallest
    document that matches LENGTH bytes from there. Where that is an earlier one, the window is marked. A task that reads texts
-   does so for the strings it has read and sends on only those with a window that is its task's first; what is sent meets in
-   the anchor's bucket and goes through an index there.
+   does so at once for the strings whose anchor at least OFTEN of its documents have, and sends on only those with a window
+   that is its first; what is sent meets in the anchor's bucket and goes through an index there.
 3. What is marked is cut out of the texts.
 
 An anchor with more than CROWD strings in a bucket, or LOCAL in a task, does not stay in one bucket: its windows are sent one by
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import Scatter, U, buckets_for, counts_chars, materialise, mix, slices, unpack
 
-LENGTH, GRAM, CROWD, LOCAL = 50, 16, 4096, 1024
+LENGTH, GRAM, CROWD, LOCAL, OFTEN = 50, 16, 4096, 1024, 4
 SPAN = LENGTH - GRAM + 1  # grams in a window, and windows in a string, at most
 WIDEST = 88  # bytes of the longest string, in whole words of eight
 SHARD_BYTES = 3 << 19
 _PIECE = 1 << 22
 _PLACE = U((1 << 24) - 1)
 SEGMENTS, MARKS, WINDOWS, NOTICES = 0, 1, 2, 3  # kinds of blobs
-STRING = ["<u8", "<i8", "<i8", "<u4", "u1", f"V{WIDEST}"]  # anchor, doc, text tag, start, windows, bytes
+STRING = ["<u4", "<i8", "<i8", "<u4", "u1", f"V{WIDEST}"]  # anchor (what the bucket does not tell), doc, text tag, start, windows, bytes
 MARK = ["<i8", "<i8", "<u4", "<u4"]  # doc, text tag, start, bytes
 
 # ---------------------------------------------------------------- anchors and strings
@@ -120,8 +120,7 @@ class RunLengthIndex:
         first = np.cumsum(self.size + 1) - self.size - 1
         left = (first + self.size)[owner] - np.arange(len(text))  # bytes up to the end mark
         order, alike = self.suffixes(text, left)
-        before = text[order - 1]
-        before[np.isin(order, first)] = 0
+        before = text[order - 1]  # an end mark before a string's first symbol
         self.start = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         head, run_size = before[self.start], np.diff(np.append(self.start, len(before)))
         by = np.argsort(head, kind="stable")
@@ -133,15 +132,17 @@ class RunLengthIndex:
         lo = np.flatnonzero(~alike)
         hi = np.append(lo[1:], len(alike))
         least = np.minimum.reduceat(doc[owner[order]], lo) if len(lo) else doc[:0]
-        run = np.searchsorted(self.start, lo, "right") - 1
-        image = self.base[run] + lo - self.start[run]
-        whole = (hi <= np.append(self.start[1:], len(before))[run]) & (before[lo] > 0)
-        to = np.searchsorted(lo, image, "right") - 1
-        kept = whole & (lo[to] == image) & (hi[to] - lo[to] == hi - lo) & (left[order[lo]] >= length)
-        sampled = np.ones(len(lo), bool)
+        match_of = np.cumsum(~alike) - 1  # by row; the rows of suffixes shorter than `length` are no match
+        run_of = np.cumsum(np.concatenate(([True], before[1:] != before[:-1]))) - 1
+        long = np.flatnonzero(left[order[lo]] >= length)
+        at, run = lo[long], run_of[lo[long]]
+        image = self.base[run] + at - self.start[run]
+        to = match_of[image]
+        kept = (run == run_of[hi[long] - 1]) & (before[at] > 0) & (lo[to] == image) & (hi[to] - lo[to] == hi[long] - at)
+        sampled = np.zeros(len(lo), bool)
+        sampled[long] = True
         sampled[to[kept]] = False
-        sampled[np.searchsorted(lo, self.entry, "right") - 1] = True
-        sampled &= left[order[lo]] >= length
+        sampled[match_of[self.entry[self.size >= length]]] = True
         self.lo, self.hi, self.least = lo[sampled], hi[sampled], least[sampled]
 
     def suffixes(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +207,20 @@ class RunLengthIndex:
         return out
 
 
-def grouped(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The entries, in order of anchor, whose anchor several documents have."""
+def grouped(anchor: np.ndarray, doc: np.ndarray, several: int = 2) -> np.ndarray:
+    """The entries, in order of anchor, whose anchor at least so many documents have, or, beyond two, runs of entries of one
+    document."""
     order = np.argsort(anchor, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(anchor[order]) != 0))) if len(order) else order
-    if not len(first):
+    if not len(order):
         return order
-    several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
-    return order[np.repeat(several, np.diff(np.append(first, len(order))))]
+    new = np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))
+    first = np.flatnonzero(new)
+    if several > 2:
+        new[1:] |= doc[order][1:] != doc[order][:-1]
+        many = np.add.reduceat(new.astype(np.int64), first) >= several
+    else:
+        many = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+    return order[np.repeat(many, np.diff(np.append(first, len(order))))]
 
 
 def string_classes(anchor: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,58 +302,52 @@ def columns_of(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
 class Meeting:
     """Strings as they are gathered in a task: what the task's own index marks, and what must be sent on."""
 
-    def __init__(self, n: int, crowd: int, windows: bool):
-        """windows: whether crowded anchors' windows are sent on one by one."""
-        self.n, self.crowd, self.windows = n, crowd, windows
-        self.marks, self.notices = Scatter(MARKS, n, MARK), Scatter(NOTICES, n, ["<u8"])
+    def __init__(self, n: int, crowd: int, windows: bool, often: int = 2):
+        """windows: whether crowded anchors' windows are sent on one by one; often: how many documents an anchor must have."""
+        self.n, self.crowd, self.windows, self.often = n, crowd, windows, often
+        self.marks, self.notices = Scatter(MARKS, n, MARK), Scatter(NOTICES, n, ["<u4"])
         self.single = Scatter(WINDOWS, n, STRING, 48 << 20, self.settle, True) if windows else None
 
-    def mark(self, cols: list[np.ndarray], entries: np.ndarray, flags: np.ndarray) -> None:
-        _, doc, tag, at = cols[:4]
-        which, first, count = runs(flags)
-        e = entries[which]
-        self.marks.add(bucket_of(doc[e], tag[e], self.n), doc[e], tag[e], at[e].astype(np.int64) + first, count + LENGTH - 1)
-
     def settle(self, cols: list[np.ndarray]) -> list[np.ndarray]:
-        """For Scatter: bucket and STRING columns, without the entries all of whose windows are marked."""
-        entries, flags = self.take(cols[1:])
-        keep = np.ones(len(cols[0]), bool)
-        keep[entries] = flags.sum(1) < cols[5][entries]
-        if self.gone is not None:
-            keep &= ~np.isin(cols[1], self.gone)
+        """For Scatter: bucket and STRING columns, without the entries all of whose windows are marked and those that go on
+        window by window."""
+        entries, flags, gone = self.take(cols[0], cols[1:])
+        keep = ~gone
+        keep[entries[flags.sum(1) == cols[5][entries]]] = False
         return [c[keep] for c in cols]
 
-    def take(self, cols: list[np.ndarray], noticed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Marks what the strings' index finds; crowded anchors' windows go on one by one."""
+    def take(self, bucket: np.ndarray, cols: list[np.ndarray], noticed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marks what the strings' index finds. (entries of the index; their windows; which entries of all are crowded, or
+        noticed, and have been sent on window by window)."""
         anchor, doc, tag, at, size, rows = cols
-        self.gone = None
-        shared = grouped(anchor, doc)
-        if noticed is not None and len(noticed):
-            known = np.isin(anchor, noticed)
-            self.send_windows([c[known] for c in cols])
-            shared = shared[~known[shared]]
+        key = bucket.astype(U) << U(32) | anchor
+        gone = np.isin(anchor, noticed) if noticed is not None and len(noticed) else np.zeros(len(anchor), bool)
+        shared = grouped(key, doc, self.often)
+        shared = shared[~gone[shared]]
         some = rows[shared].view(np.uint8).reshape(-1, WIDEST)
-        entries, flags, crowded = matched(anchor[shared], doc[shared], size[shared], some, self.crowd if self.windows else 1 << 62)
+        entries, flags, crowded = matched(key[shared], doc[shared], size[shared], some, self.crowd if self.windows else 1 << 62)
         entries = shared[entries]
-        self.mark(cols, entries, flags)
+        which, first, count = runs(flags)
+        e = entries[which]
+        self.marks.add(bucket_of(doc[e], tag[e], self.n), doc[e], tag[e], at[e].astype(np.int64) + first, count + LENGTH - 1)
         if len(crowded):
-            self.gone = crowded
-            own = np.isin(anchor, crowded)
-            self.notices.add((crowded % U(self.n)).astype(np.int32), crowded)
-            self.send_windows([c[own] for c in cols])
-        return entries, flags
+            gone |= np.isin(key, crowded)
+            self.notices.add((crowded >> U(32)).astype(np.int32), crowded & U(0xFFFFFFFF))
+        if gone.any():
+            self.send_windows([c[gone] for c in cols])
+        return entries, flags, gone
 
     def send_windows(self, cols: list[np.ndarray]) -> None:
         for k in range(0, len(cols[0]), 1 << 15):
             _, doc, tag, at, size, rows = (c[k : k + (1 << 15)] for c in cols)
-            text = rows.view(np.uint8).reshape(-1)
+            text = np.ascontiguousarray(rows).view(np.uint8).reshape(-1)
             own = np.repeat(np.arange(len(doc)), size)
             step = np.arange(len(own)) - np.repeat(np.cumsum(size.astype(np.int64)) - size, size)
             one = np.ones(len(own), np.int64)
             each = strings_at(text, own * WIDEST + step, one)
             word = each.view("<u8")
             key = mix(sum(mix(word[:, i] + U(i + 1)) * U(2 * i + 1) for i in range(7)))
-            self.single.add((key % U(self.n)).astype(np.int32), key, doc[own], tag[own], at[own].astype(np.int64) + step, one, each.view(f"V{WIDEST}")[:, 0])
+            self.single.add((key % U(self.n)).astype(np.int32), key >> U(32), doc[own], tag[own], at[own].astype(np.int64) + step, one, each.view(f"V{WIDEST}")[:, 0])
 
     def flush(self, all_: bool = False) -> Iterator[pa.RecordBatch]:
         if self.single is not None and (all_ or self.single.full()):
@@ -368,12 +369,12 @@ def deal(docs: DataFrame, n: int) -> DataFrame:
     """Strings dealt by anchor, and what is marked at once. docs: doc_id, tag, text, no null id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meeting = Meeting(n, LOCAL, True)
+        meeting = Meeting(n, LOCAL, True, OFTEN)
         out = Scatter(SEGMENTS, n, STRING, 48 << 20, meeting.settle, True)
         for b in slices(batches, 64):
             for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist()):
                 for anchor, at, size, rows in segments(np.frombuffer((text or "").encode(), np.uint8)):
-                    out.add((anchor % U(n)).astype(np.int32), anchor, np.full(len(at), doc, np.int64), np.full(len(at), tag, np.int64), at, size, rows.view(f"V{WIDEST}")[:, 0])
+                    out.add((anchor % U(n)).astype(np.int32), anchor >> U(32), np.full(len(at), doc, np.int64), np.full(len(at), tag, np.int64), at, size, rows.view(f"V{WIDEST}")[:, 0])
                     if out.full():
                         yield from out.flush()
                         yield from meeting.flush()
@@ -387,15 +388,17 @@ def meet(dealt: DataFrame, n: int, kind: int, windows: bool) -> DataFrame:
     """Marks, and single windows if so wanted, of the blobs of that kind; others pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meeting, own, noticed = Meeting(n, CROWD, windows), [], []
+        meeting, own, noticed, bucket = Meeting(n, CROWD, windows), [], [], 0
         for row in blobs_of(batches):
+            bucket = row[1]
             if row[0] == kind:
                 own.append(row[2:])
             elif row[0] == NOTICES:
                 noticed.append(row[2:])
             else:
                 yield rows_of([row])
-        meeting.take(columns_of(own), unpack(noticed, ["<u8"])[0])
+        cols = columns_of(own)
+        meeting.take(np.full(len(cols[0]), bucket, np.int32), cols, unpack(noticed, ["<u4"])[0])
         yield from meeting.flush(True)
 
     return dealt.repartitionById(n, F.col("bucket")).mapInArrow(run, Scatter.SCHEMA)
