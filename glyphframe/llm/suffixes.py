@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scatter, U, buckets_for, counts_chars, materialise, mix, slices, unpack
+from .common import Scatter, U, buckets_for, counts_chars, from_planes, materialise, mix, slices, unpack
 
 LENGTH, GRAM, CROWD, LOCAL, OFTEN = 50, 16, 4096, 1024, 4
 SPAN = LENGTH - GRAM + 1  # grams in a window, and windows in a string, at most
@@ -294,9 +294,33 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 # ---------------------------------------------------------------- where strings meet
 
 
-def columns_of(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
+class Pieces:
+    """Rows of several arrays one after the other, copied only where they are asked for."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.arrays, self.first = arrays, np.cumsum([0, *map(len, arrays)])
+
+    def __getitem__(self, where: np.ndarray) -> np.ndarray:
+        if where.dtype == bool:
+            where = np.flatnonzero(where)
+        out, order = np.empty(len(where), STRING[-1]), np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], self.first)
+        for a, first, i, j in zip(self.arrays, self.first, cuts, cuts[1:]):
+            out[order[i:j]] = a[where[order[i:j]] - first]
+        return out
+
+
+def columns_of(blobs: list[tuple[int, bytes]]) -> list:
+    """The STRING columns of the blobs, which are taken from the list; the strings stay where they were decompressed."""
     open_ = zstandard.ZstdDecompressor().decompress
-    return unpack([(n, open_(blob)) for n, blob in blobs], STRING)
+    cols: list[list[np.ndarray]] = [[np.zeros(0, d)] for d in STRING]
+    while blobs:
+        n, blob = blobs.pop()
+        data, at = open_(blob), 0
+        for col, d in zip(cols, map(np.dtype, STRING)):
+            col.append(from_planes(data, d, n, at))
+            at += n * d.itemsize
+    return [*map(np.concatenate, cols[:-1]), Pieces(cols[-1])]
 
 
 class Meeting:
@@ -306,7 +330,7 @@ class Meeting:
         """windows: whether crowded anchors' windows are sent on one by one; often: how many documents an anchor must have."""
         self.n, self.crowd, self.windows, self.often = n, crowd, windows, often
         self.marks, self.notices = Scatter(MARKS, n, MARK), Scatter(NOTICES, n, ["<u4"])
-        self.single = Scatter(WINDOWS, n, STRING, 48 << 20, self.settle, True) if windows else None
+        self.single = Scatter(WINDOWS, n, STRING, 32 << 20, self.settle, True) if windows else None
 
     def settle(self, cols: list[np.ndarray]) -> list[np.ndarray]:
         """For Scatter: bucket and STRING columns, without the entries all of whose windows are marked and those that go on
@@ -370,7 +394,7 @@ def deal(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting = Meeting(n, LOCAL, True, OFTEN)
-        out = Scatter(SEGMENTS, n, STRING, 48 << 20, meeting.settle, True)
+        out = Scatter(SEGMENTS, n, STRING, 32 << 20, meeting.settle, True)
         for b in slices(batches, 64):
             for doc, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist()):
                 for anchor, at, size, rows in segments(np.frombuffer((text or "").encode(), np.uint8)):
