@@ -49,15 +49,23 @@ def polygon_area(points: Column) -> Column:
     return F.abs(F.aggregate(F.zip_with(points, following, cross), F.lit(0.0), lambda a, x: a + x)) / 2
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once; written into a lambda, it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ordered_quad(points: Column) -> Column:
-    """The corners by their angle around the centre, from the one of smallest x + y on."""
-    n = F.size(points)
-    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]) / n
-    around = F.array_sort(F.transform(points, lambda p: F.struct(F.atan2(p["y"] - mean("y"), p["x"] - mean("x")).alias("angle"), p.alias("p"))))
-    turned = F.transform(around, lambda s: s["p"])
-    sums = F.transform(turned, lambda p: p["x"] + p["y"])
-    first = F.array_position(sums, F.array_min(sums)).cast("int")
-    return F.concat(F.slice(turned, first, n), F.slice(turned, F.lit(1), first - 1))
+    """The corners by their angle around the centre, from the one of smallest x + y on, of equal ones that of smallest x."""
+    mean = lambda ps, c: F.aggregate(ps, F.lit(0.0), lambda a, p: a + p[c]) / F.size(ps)
+    around = lambda s: F.array_sort(F.transform(s["ps"], lambda p: F.struct(F.atan2(p["y"] - s["y"], p["x"] - s["x"]).alias("angle"), p.alias("p"))))
+    turned = let(F.struct(points.alias("ps"), mean(points, "x").alias("x"), mean(points, "y").alias("y")), around)
+
+    def from_first(ring: Column) -> Column:
+        keys = F.transform(ring, lambda s: F.struct((s["p"]["x"] + s["p"]["y"]).alias("sum"), s["p"]["x"].alias("x")))
+        first = let(keys, lambda k: F.array_position(k, F.array_min(k)).cast("int"))
+        return let(first, lambda f: F.transform(F.concat(F.slice(ring, f, F.size(ring)), F.slice(ring, F.lit(1), f - 1)), lambda s: s["p"]))
+
+    return let(turned, from_first)
 
 
 def sides(quad: Column) -> tuple[Column, Column]:
@@ -153,6 +161,11 @@ def rotated(p: Column, angle: Column) -> Column:
 def composited(channel: Column, alpha: Column, premultiplied: bool = False) -> Column:
     """An 8-bit channel over white."""
     if premultiplied:
-        return F.least(channel + (255 - alpha), F.lit(255)).cast("int")
+        over = F.raise_error(F.lit("invalid pixels: premultiplied channel exceeds alpha")).cast("int")
+        return F.when(channel > alpha, over).otherwise((channel + (255 - alpha)).cast("int"))
     wide = F.floor(channel * 257 * alpha / 255) + (255 - alpha) * 257  # in 16 bits, as the contract converts
     return F.floor(wide / 257).cast("int")
+
+
+def is_rotated_180(quarter: Column) -> Column:
+    return quarter >= 2

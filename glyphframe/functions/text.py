@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .geometry import let
 from .kernels import visual_to_logical
 
 
@@ -28,6 +29,39 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def filename_of(original: Column) -> Column:
+    """The standard path of a model package's resource: by its role and profile, whatever folder or checkpoint it came from."""
+    path = F.translate(original, "\\", "/")
+
+    def named(all_: Column) -> Column:
+        cut = F.array_position(F.transform(all_, F.lower), F.lit(MODEL_FOLDER)).cast("int")
+        return let(F.when((cut > 0) & (cut < F.size(all_)), F.slice(all_, cut + 1, F.size(all_))).otherwise(all_), by_role)
+
+    def by_role(parts: Column) -> Column:
+        model, role, profile = F.lower(path).endswith(".onnx"), F.lower(F.get(parts, F.lit(0))), slug(F.get(parts, F.lit(1)))
+        file = F.lower(F.element_at(parts, -1))
+        table = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), file if d is RECOGNITION_FILES else role)
+        plain = F.concat(F.when(model, "models/").otherwise("data/"), slug(F.element_at(F.split(path, "/"), -1)))
+        long = F.size(parts) >= 2
+        return (
+            F.when(long & model & table(MODEL_ROLES).isNotNull(), F.concat(F.lit("models/"), table(MODEL_ROLES), F.lit("/"), profile, F.lit(".onnx")))
+            .when(long & model & (role == "auxmltcls"), "models/classification/script_orientation.onnx")
+            .when(long & ~model & (role == "character"), F.concat(F.lit("data/recognition/"), profile, F.lit("/"), F.coalesce(table(RECOGNITION_FILES), slug(file))))
+            .when(long & ~model & (role == "detector") & (file == "checkbox_cal.txt"), F.concat(F.lit("data/detection/"), profile, F.lit("/checkbox_calibration.txt")))
+            .when(long & ~model & (role == "auxmltcls") & (file == "handwritten_calibration_map.txt"), "data/classification/handwriting_calibration.txt")
+            .when(long & ~model & (role == "enums"), F.concat(F.lit("data/enums/"), slug(file)))
+            .otherwise(plain)
+        )
+
+    return let(F.split(path, "/"), named)
+
+
+#: Fixed names of the package layout: the folder that holds the roles, roles of models, files of a recogniser.
+MODEL_FOLDER = "model_edge"
+MODEL_ROLES = {"detector": "detection", "character": "recognition", "rejection": "rejection", "confidence": "confidence", "linelayout": "layout"}
+RECOGNITION_FILES = {"char2ind.txt": "alphabet.txt", "char2inschar.txt": "character_mapping.txt", "composite_chars_map": "composite_characters.txt", "rnn.info": "rnn.info"}
+
+
 def slug(name: Column) -> Column:
     """A lower-case file name: words divided by underscores."""
     out = F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2")
@@ -96,11 +130,6 @@ def log_probability(values: Column, index: Column) -> Column:
     return F.element_at(values, index + 1) - top - F.ln(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
 
 
-def let(value: Column, body) -> Column:
-    """body of a value that is computed once; written into a lambda, it would be computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ctc_keep(ids: Column, blank: Column | int) -> Column:
     """Positions from 0 of the emitted frames: those unlike the frame before (blank or not) that are not blank."""
 
