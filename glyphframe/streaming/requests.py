@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+MOST_BYTES = 1 << 20
+
 
 def requests(spark: SparkSession, folder: str, files_per_trigger: int = 2) -> DataFrame:
-    """(id, path) of the lines, that are not blank, of new files in folder. files_per_trigger bounds what is taken in at once;
-    the id is a hash of file and line, as a stream has no order to count by."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    lines = lines.select(F.trim("value").alias("path"), F.col("_metadata.file_path").alias("file"))
-    return lines.where("path <> ''").select(F.xxhash64("file", "path").alias("id"), "path")
+    """(file, id, path) of the lines, that are not empty, of new files in folder; id counts a file's lines from 1, so equal
+    paths stay two requests. files_per_trigger bounds what is taken in at once. A line over 1 MiB is an error."""
+    lists = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder, wholetext=True)
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: x != "")
+    asked = lists.select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("at", "path"))
+    path = F.when(F.octet_length("path") > MOST_BYTES, F.raise_error(F.lit("invalid request: line over 1 MiB")).cast("string")).otherwise(F.col("path"))
+    return asked.select("file", (F.col("at") + 1).cast("long").alias("id"), path.alias("path"))
 
 
 def responses(stream: DataFrame, operation: Callable[[DataFrame], DataFrame]) -> DataFrame:
