@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.kernels import link_groups, minimum_rectangle
+from ..functions.kernels import area as polygon_area
+from ..functions.kernels import keep_apart, link_groups, minimum_rectangle
 from ..schema import LEAST_AREA, LINE_THRESHOLD, LINK_THRESHOLD, MOST_REGIONS, OVERLAP, SEGMENT_THRESHOLD
 
 HEADS = [(level, direction) for level in (2, 3, 4) for direction in ("horizontal", "vertical")]
@@ -38,6 +39,73 @@ def groups(maps: DataFrame, key: str, columns: int, scores: str, links: str, thr
     return got.withColumnRenamed("key", key)
 
 
+def head_regions(heads: DataFrame, page: str, threshold: float = SEGMENT_THRESHOLD, line_thresholds: dict[int, float] | None = None) -> DataFrame:
+    """(page, level, direction, seq, score, quad in the scaled page) of the regions of detector heads; seq numbers a head's
+    regions by their first cell. heads: page, level, direction, columns, scores, deltas and links (8 maps each, one after the
+    other). Numbers that are not finite are an error. A head is one row and is decoded where it is read."""
+    kind, least = dict(heads.dtypes)[page], line_thresholds or {}
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, level, way, columns, s, d, n in zip(*(pdf[c] for c in ("page", "level", "direction", "columns", "scores", "deltas", "links"))):
+                score = np.asarray(s, np.float32).reshape(-1, columns)
+                delta = np.asarray(d, float).reshape(8, -1)
+                label = link_groups(score, np.asarray(n, float).reshape(8, *score.shape), threshold).reshape(-1)
+                own = np.flatnonzero(label >= 0)
+                own = own[np.argsort(label[own], kind="stable")]
+                stride, seq = 1 << level, 0
+                for cell in np.split(own, np.flatnonzero(np.diff(label[own])) + 1) if len(own) else []:
+                    mean = float(np.cumsum(score.reshape(-1)[cell])[-1] / np.float32(len(cell)))
+                    if mean < least.get(level, LINE_THRESHOLD):
+                        continue
+                    centre = np.stack([cell % columns, cell // columns]) * stride + (stride - 1) / 2
+                    points = (centre[None] + delta[:, cell].reshape(4, 2, -1) * (8 * stride - 1)).transpose(0, 2, 1).reshape(-1, 2)
+                    if not np.isfinite(points).all():
+                        raise ValueError("nonfinite detector output")
+                    quad = minimum_rectangle(points)
+                    if polygon_area(quad) >= LEAST_AREA:
+                        out.append((key, level, way, seq, mean, [{"x": x, "y": y} for x, y in quad.tolist()]))
+                        seq += 1
+            yield pd.DataFrame(out, columns=["page", "level", "direction", "seq", "score", "quad"])
+
+    names = [F.col(page).alias("page"), "level", "direction", "columns", "scores", "deltas", "links"]
+    got = heads.select(*names).mapInPandas(run, f"page {kind}, level int, direction string, seq int, score double, quad array<struct<x: double, y: double>>")
+    return got.withColumnRenamed("page", page)
+
+
+def detect(heads: DataFrame, pages: DataFrame, page: str, threshold: float = SEGMENT_THRESHOLD, line_thresholds: dict[int, float] | None = None, max_side: int = 1600) -> DataFrame:
+    """(page, width, height, regions as DETECTION structs by falling score): all heads decoded, regions brought to the page's
+    own scale, those of too small an area left out there as well, overlapping ones suppressed. heads: as for head_regions();
+    pages: page, width, height, also those without a region. Too many regions are an error."""
+    scale = G.detector_scale(F.col("width"), F.col("height"), max_side)
+    size = pages.select(page, "width", "height", scale.alias("scale"))
+    found = head_regions(heads, page, threshold, line_thresholds).join(size, page)
+    moved = lambda p: G.rescaled(p, F.col("scale.scaled_width"), F.col("scale.scaled_height"), F.col("width"), F.col("height"))
+    found = found.withColumn("quad", F.transform("quad", moved)).where(G.polygon_area(F.col("quad")) >= LEAST_AREA)
+    found = found.withColumn("vertical", F.col("direction") == "vertical")
+    kept = limited(suppress_quads(found, page, ("level", "direction", "seq")), F.col("regions"))
+    none = F.array().cast("array<struct<quad: array<struct<x: double, y: double>>, bbox: struct<x: double, y: double, width: double, height: double>, score: double, vertical: boolean>>")
+    return pages.select(page, "width", "height").join(kept, page, "left").withColumn("regions", F.coalesce("regions", none))
+
+
+def suppress_quads(found: DataFrame, page: str, ties: tuple[str, ...], overlap: float = OVERLAP) -> DataFrame:
+    """(page, regions): greedy suppression of quads by the overlap of the polygons. found: page, quad, score, vertical and the
+    columns that order equal scores. A page's candidates meet in one row: they are bounded by its detector's cells."""
+
+    @F.pandas_udf("array<boolean>")
+    def stays(quads: pd.Series) -> pd.Series:
+        return pd.Series([keep_apart(np.asarray(q, float).reshape(-1, 4, 2), overlap) for q in quads])
+
+    region = F.struct("quad", G.quad_bounds(F.col("quad")).alias("bbox"), "score", "vertical").alias("region")
+    entry = F.struct((-F.col("score")).alias("order"), *ties, region)
+    all_ = found.groupBy(page).agg(F.array_sort(F.collect_list(entry)).alias("all")).select(page, F.transform("all", lambda e: e["region"]).alias("all"))
+    flat = F.flatten(F.flatten(F.transform("all", lambda r: F.transform(r["quad"], lambda p: F.array(p["x"], p["y"])))))
+    kept = all_.withColumn("stays", stays(flat))
+    pairs = F.filter(F.arrays_zip("all", "stays"), lambda z: z["stays"])
+    return kept.select(page, F.transform(pairs, lambda z: z["all"]).alias("regions"))
+
+
 def group_scores(cells_: DataFrame, key: str, least: float = LINE_THRESHOLD) -> DataFrame:
     """Mean score and size of each group that reaches the line threshold."""
     return cells_.groupBy(key, "group").agg(F.avg("score").alias("score"), F.count("*").alias("cells")).where(F.col("score") >= least)
@@ -70,7 +138,8 @@ def union_heads(heads: dict[tuple[int, str], DataFrame]) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, page: str, score: str = "score", ties: tuple[str, ...] = (), overlap: float = OVERLAP) -> DataFrame:
-    """(page, kept boxes as structs in order of score): greedy suppression. boxes: page, score, x, y, width, height.
+    """(page, kept boxes as structs in order of score): greedy suppression of upright boxes, for which the boxes' overlap is the
+    polygons'; turned quads take suppress_quads(). boxes: page, score, x, y, width, height.
 
     A box falls only to a box that stays, so the fold over a page's boxes is sequential by nature; pages are bounded by
     the region limit. Equal scores are ordered by the box's columns and then by ties."""
@@ -83,7 +152,7 @@ def suppress(boxes: DataFrame, page: str, score: str = "score", ties: tuple[str,
 
 def limited(pages: DataFrame, regions: Column, most: int = MOST_REGIONS) -> DataFrame:
     """Too many regions are an error, never a silent cut."""
-    return pages.where(F.when(F.size(regions) > most, F.raise_error(F.lit("invalid page: too many regions")).cast("boolean")).otherwise(F.lit(True)))
+    return pages.where(F.when(F.size(regions) > most, F.raise_error(F.lit(f"invalid page: more than {most} detected regions")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def overlaps(boxes: DataFrame, page: str, key: str, cell: float = 128.0) -> DataFrame:

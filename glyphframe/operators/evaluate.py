@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def cases(labels: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """labels (key, expected, corpus) with results (key, actual): errors by edit distance in code points."""
@@ -25,15 +30,29 @@ def percentile(values: Column, p: float) -> Column:
 
 
 def grouped_percentiles(df: DataFrame, by: str, value: str, ps: dict[str, float]) -> DataFrame:
-    """Exact percentiles by the same rule for groups of any size: rows are counted by distinct value first, and the place is
-    found in the running counts, so no group is gathered."""
-    from pyspark.sql import Window as W
-
+    """Exact percentiles by the same rule for few groups of any size: rows are counted by distinct value, and the values are
+    dealt by range. A group's place falls into one range, by the ranges' totals, and into one value by the running counts
+    within that range, so no task sees a whole group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    run = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(W.partitionBy(by))})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialise(counts.repartitionByRange(parts, by, value).withColumn("range", F.spark_partition_id()), "percentiles")
+    totals = counts.groupBy(by, "range").agg(F.sum("c").alias("t"))  # a row a range, two where a range ends a group
+    before = W.partitionBy(by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumns({"before": F.coalesce(F.sum("t").over(before), F.lit(0)), "n": F.sum("t").over(W.partitionBy(by))})
     at = {k: F.least(F.col("n") - 1, F.rint((F.col("n") - 1) * F.lit(p)).cast("long")) for k, p in ps.items()}
-    return run.groupBy(by).agg(F.max("n").alias("runs"), *[F.min(F.when(F.col("upto") > a, F.col(value))).alias(k) for k, a in at.items()])
+    hit = reduce(lambda a, b: a | b, [(F.col("before") <= a) & (a < F.col("before") + F.col("t")) for a in at.values()])
+    run = counts.join(F.broadcast(totals.where(hit)), [by, "range"])  # as many rows as groups have percentiles, at most
+    upto = F.col("before") + F.sum("c").over(W.partitionBy(by, "range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    run = run.withColumn("upto", upto)
+    return run.groupBy(by).agg(F.max("n").alias("runs"), *[F.min(F.when((F.col("before") <= a) & (F.col("upto") > a), F.col(value))).alias(k) for k, a in at.items()])
+
+
+def report(cases_: DataFrame, seconds: str = "elapsed_seconds") -> DataFrame:
+    """The evaluation report: one row a corpus and, with a null corpus, one of all cases: error_rates and the median seconds."""
+    median = lambda df, *by: df.groupBy(*by).agg(F.median(seconds).alias("median_seconds"))
+    each = error_rates(cases_, "corpus").join(median(cases_, "corpus"), "corpus")
+    everything = error_rates(cases_).crossJoin(median(cases_)).withColumn("corpus", F.lit(None).cast("string"))  # one row each
+    return each.unionByName(everything)
 
 
 def throughput(df: DataFrame, by: str, seconds: str) -> DataFrame:

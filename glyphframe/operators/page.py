@@ -45,8 +45,9 @@ def checked_options(script: str = "", reading_order: str = "auto", min_line_conf
     return {"script": script, "reading_order": reading_order or "auto", "min_line_confidence": min_line_confidence}
 
 
-def checked_config(threads: int = 2, max_side: int = 1600, max_inflight: int = 1) -> dict[str, str]:
-    """Engine limits as Spark settings: intra-task threads and how many pages a trigger takes in."""
+def checked_config(threads: int = 2, max_side: int = 1600, max_inflight: int = 1) -> dict[str, int]:
+    """Engine limits, or an error: threads for a model's session, the detector's longest side (detect()), and how many files a
+    streaming trigger takes in for each worker (streaming.requests)."""
     if not 1 <= threads <= 16 or not 128 <= max_side <= 4096 or not 1 <= max_inflight <= 4:
         raise ValueError("invalid configuration")
-    return {"spark.task.cpus": str(threads), "glyphframe.max_side": str(max_side), "glyphframe.max_inflight": str(max_inflight)}
+    return {"threads": threads, "max_side": max_side, "files_per_trigger": 2 * max_inflight}

@@ -37,6 +37,7 @@ PAGE = T.StructType(
     ]
 )
 DETECTION = T.StructType([T.StructField("quad", QUAD), T.StructField("bbox", BOX), T.StructField("score", T.DoubleType()), T.StructField("vertical", T.BooleanType())])
+DETECTIONS = T.StructType([T.StructField("coordinate_space", T.StringType()), T.StructField("regions", T.ArrayType(DETECTION)), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("elapsed_seconds", T.DoubleType()), T.StructField("model_sha256", T.StringType())])
 ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("message", T.StringType())])
 BATCH_ITEM = T.StructType([T.StructField("index", T.LongType()), T.StructField("result", PAGE), T.StructField("error", ERROR)])
 RASTER = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -44,6 +45,9 @@ TENSOR = T.StructType([T.StructField("shape", T.ArrayType(T.LongType())), T.Stru
 
 # Fixed values of the recognition contract.
 SCRIPTS = ["Latin", "CJK", "Cyrillic", "Arabic", "Devanagari", "Greek", "Thai", "Hebrew", "Tamil"]
+CONFIDENCE_METHOD, COORDINATE_SPACE = "ctc_token_geometric_mean", "oriented_image"
+STANDING_WARNING = "Experimental final quad fitting, normalization and reading order; original rejection/calibration are not applied."
+PROFILES = {"cjk-en": ["CJK", "Latin"], "extended": ["CJK", "Latin", "Cyrillic", "Arabic"]}
 CLASSIFIER_CHANNELS = ["", "CJK", "Latin", "Cyrillic", "Arabic", "Devanagari", "Greek", "Thai", "Hebrew", "Tamil"]
 READING_ORDERS = ["auto", "ltr", "rtl", "none"]
 CHARACTER_CLASSES = ["han", "kana", "hangul", "latin", "digits"]
