@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import batch, detect, evaluate, layout, page, routing
+from ..operators import batch, detect, evaluate, layout, page, recognise, routing
 from ..schema import CLASSIFIER_CHANNELS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small table has fewer files than there are cores; of no use, and left out, with many files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def once(value: F.Column, keep=None) -> F.Column:
+    """The fields of a struct that is computed once a row, of the rows that keep, a condition on it, lets pass. A filter over a
+    projection would be pushed below it and compute the struct again."""
+    return F.inline(X.let(value, lambda t: F.array(t) if keep is None else F.filter(F.array(t), keep)))
+
+
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -147,7 +159,7 @@ FRAMES = """frames AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, u
 
 def frames(spark, d):
     """doc_id, chars, ids of each text: one frame a character; blank is id 32."""
-    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.split("text", "").alias("chars"))
+    t = spread(table(spark, d, "documents")).where("length(text) > 0").select("doc_id", F.split("text", "").alias("chars"))
     return t.select("doc_id", "chars", F.transform("chars", lambda c: F.ascii(c) % 40).alias("ids"))
 
 
@@ -158,7 +170,7 @@ def ctc_collapse(spark, d):
         total = lambda kept: F.aggregate(kept, F.lit(0).cast("long"), lambda a, i: a + F.get(ids, i) * ((i + 1) % 1000))
         return X.let(X.ctc_keep(ids, 32), lambda kept: F.struct(F.size(ids).cast("long").alias("frames"), F.size(kept).cast("long").alias("tokens"), total(kept).alias("checksum")))
 
-    return frames(spark, d).select("doc_id", X.let(F.col("ids"), tally).alias("t")).select("doc_id", "t.*")
+    return frames(spark, d).select("doc_id", once(X.let(F.col("ids"), tally)))
 
 
 @query(f"WITH {FRAMES} SELECT doc_id, count(*) AS tokens, round(sum(lp), 4) AS log_sum, round(exp(sum(lp) / count(*)), 6) AS confidence FROM kept GROUP BY doc_id")
@@ -168,7 +180,7 @@ def ctc_confidence(spark, d):
         logs = lambda kept: F.aggregate(kept, F.lit(0.0), lambda a, i: a + F.ln((F.ascii(F.get(f["chars"], i)) % 89 + 10) / 100.0))
         return X.let(X.ctc_keep(f["ids"], 32), lambda kept: F.struct(F.size(kept).cast("long").alias("tokens"), logs(kept).alias("s")))
 
-    k = frames(spark, d).select("doc_id", X.let(F.struct("chars", "ids"), tally).alias("t")).select("doc_id", "t.*").where("tokens > 0")
+    k = frames(spark, d).select("doc_id", once(X.let(F.struct("chars", "ids"), tally), lambda t: t["tokens"] > 0))
     return k.select("doc_id", "tokens", F.round("s", 4).alias("log_sum"), r6(X.confidence(F.col("s"), F.col("tokens"))).alias("confidence"))
 
 
@@ -184,8 +196,8 @@ def ctc_trim(spark, d):
         kept = lambda p: X.trimmed_places(p, F.transform(c, lambda x: x.isin("e", "\n")))
         return X.let(places, lambda p: F.struct(F.size(p).cast("long").alias("emitted"), F.size(kept(p)).cast("long").alias("kept")))
 
-    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", X.let(F.split("text", ""), tally).alias("t"))
-    return t.select("doc_id", "t.*").where("emitted > 0")
+    t = spread(table(spark, d, "documents")).where("length(text) > 0")
+    return t.select("doc_id", once(X.let(F.split("text", ""), tally), lambda t: t["emitted"] > 0))
 
 
 @query("""WITH dim AS (SELECT * FROM (VALUES (0, 'a', NULL), (1, '<space>', NULL), (2, 'x', 'é'), (3, 'ß', 'ss'), (4, '!', NULL)) AS v(id, token, composite)),
@@ -201,19 +213,20 @@ def alphabet_lookup(spark, d):
 @query(r"""SELECT lang, CAST(sum(length(regexp_replace(text, '[^\p{Latin}]', '', 'g'))) AS BIGINT) AS latin, CAST(sum(length(regexp_replace(text, '[^\p{Nd}]', '', 'g'))) AS BIGINT) AS digits, CAST(sum(length(regexp_replace(text, '[^\p{Han}]', '', 'g'))) AS BIGINT) AS han,
  CAST(sum(length(regexp_replace(text, '[^\p{Hiragana}\p{Katakana}ーｰ]', '', 'g'))) AS BIGINT) AS kana, CAST(sum(length(regexp_replace(text, '[^\p{Hangul}]', '', 'g'))) AS BIGINT) AS hangul FROM documents GROUP BY lang""")
 def char_classes(spark, d):
-    """Characters of each class by language."""
-    t = table(spark, d, "documents")
-    return t.groupBy("lang").agg(*[F.sum(X.class_count(F.col("text"), k)).cast("long").alias(k) for k in ("latin", "digits", "han", "kana", "hangul")])
+    """Characters of each class by language. One look at a text tells whether any letter is beyond Latin."""
+    t = spread(table(spark, d, "documents")).withColumn("wide", F.col("text").rlike(r"[^\x{0000}-\x{024F}]"))
+    count = lambda k: F.when(F.col("wide") | F.lit(k in ("latin", "digits")), X.class_count(F.col("text"), k)).otherwise(F.when(F.col("text").isNotNull(), 0))
+    return t.groupBy("lang").agg(*[F.sum(count(k)).cast("long").alias(k) for k in ("latin", "digits", "han", "kana", "hangul")])
 
 
 @query(r"""WITH v AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents)
-SELECT count(*) AS tokens, count(*) FILTER (regexp_matches(token, '^<.*>$') OR regexp_replace(token, '[\s\p{P}\p{S}\p{M}\p{Z}]|\p{Latin}', '', 'g') = '') AS latin_only,
- count(*) FILTER (regexp_matches(token, '^<.*>$') OR regexp_replace(token, '[\s\p{P}\p{S}\p{M}\p{Z}]|\p{Nd}', '', 'g') = '') AS digits_only FROM v""")
+SELECT token, regexp_matches(token, '^<.*>$') OR regexp_replace(token, '[\s\p{P}\p{S}\p{M}\p{Z}]|\p{Latin}', '', 'g') = '' AS latin_only,
+ regexp_matches(token, '^<.*>$') OR regexp_replace(token, '[\s\p{P}\p{S}\p{M}\p{Z}]|\p{Nd}', '', 'g') = '' AS digits_only FROM v""")
 def class_mask(spark, d):
-    """Tokens that pass the masks of Latin letters and of digits."""
+    """Which tokens pass the masks of Latin letters and of digits."""
     v = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("token")).distinct()
     none = F.lit(None).cast("string")
-    return v.agg(F.count("*").alias("tokens"), F.count_if(X.allowed(F.col("token"), none, ["latin"])).alias("latin_only"), F.count_if(X.allowed(F.col("token"), none, ["digits"])).alias("digits_only"))
+    return v.select("token", X.allowed(F.col("token"), none, ["latin"]).alias("latin_only"), X.allowed(F.col("token"), none, ["digits"]).alias("digits_only"))
 
 
 @query("""SELECT lang, count(*) AS documents, count(*) FILTER (nfc_normalize(text) = text) AS composed, CAST(sum(length(nfc_normalize(text || 'e' || chr(769)))) AS BIGINT) AS characters FROM documents GROUP BY lang""")
@@ -257,14 +270,17 @@ def quad_geometry(spark, d):
     return b.groupBy("page").agg(F.count("*").alias("boxes"), F.min("b.x").alias("x"), F.min("b.y").alias("y"), F.max(F.col("b.x") + F.col("b.width")).alias("right"), F.round(F.sum("a"), 3).alias("area"), F.count_if(F.col("r") <= 2).alias("compact"), F.max(r6("r")).alias("aspect"))
 
 
-@query(f"""WITH {BOXES}, p AS (SELECT page, seq, x, y, width, height, [x + width, x, x + width, x] AS xs, [y + height, y, y, y + height] AS ys FROM boxes)
-SELECT page, count(*) AS quads, round(sum(x + 2 * (x + width) + 3 * (x + width) + 4 * x), 3) AS x_order, round(sum(y + 2 * y + 3 * (y + height) + 4 * (y + height)), 3) AS y_order FROM p GROUP BY page""")
+@query(f"""WITH {BOXES}, p AS (SELECT page, seq, x, y, x + width AS r, y + height AS b, CAST(floor(x) AS BIGINT) % 20 + 5 AS u, CAST(floor(y) AS BIGINT) % 20 + 5 AS v FROM boxes),
+ q AS (SELECT page, seq, x, y, CASE WHEN seq % 2 = 0 THEN [x, r, r, x] WHEN u >= v THEN [x - u, x, x + u, x] ELSE [x, x + u, x, x - u] END AS xs, CASE WHEN seq % 2 = 0 THEN [y, y, b, b] WHEN u >= v THEN [y, y - v, y, y + v] ELSE [y - v, y, y + v, y] END AS ys FROM p)
+SELECT page, seq, x, y, xs[1] AS x0, ys[1] AS y0, xs[2] AS x1, ys[2] AS y1, xs[3] AS x2, ys[3] AS y2, xs[4] AS x3, ys[4] AS y3 FROM q""")
 def ordered_corners(spark, d):
-    """Shuffled corners put clockwise from the top left; weighted sums tell the order."""
+    """Shuffled corners of upright quads and of squares and rhombs on their corners, where equal x + y decide by x."""
     x, y, r, b = F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height")
-    q = boxes(spark, d).select("page", G.ordered_quad(F.array(G.point(r, b), G.point(x, y), G.point(r, y), G.point(x, b))).alias("q"))
-    weigh = lambda c: sum((i + 1) * F.col("q")[i][c] for i in range(4))
-    return q.groupBy("page").agg(F.count("*").alias("quads"), F.round(F.sum(weigh("x")), 3).alias("x_order"), F.round(F.sum(weigh("y")), 3).alias("y_order"))
+    u, v = (F.floor(c).cast("long") % 20 + 5 for c in (x, y))
+    upright = F.array(G.point(r, b), G.point(x, y), G.point(r, y), G.point(x, b))
+    turned = F.array(G.point(x, y + v), G.point(x + u, y), G.point(x - u, y), G.point(x, y - v))
+    q = boxes(spark, d).select("page", "seq", "x", "y", once(F.struct(G.ordered_quad(F.when(F.col("seq") % 2 == 0, upright).otherwise(turned)).alias("q"))))
+    return q.select("page", "seq", "x", "y", *[F.col("q")[i][c].alias(f"{c}{i}") for i in range(4) for c in "xy"])
 
 
 @query(f"""WITH {BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq, x, y, width, height, score) AS k FROM boxes),
@@ -314,20 +330,22 @@ def detector_sizes(spark, d):
     return p.groupBy(F.col("s.padded_width").alias("padded_width")).agg(F.count("*").alias("pages"), r6(F.avg("s.scale")).alias("scale"), F.max("s.padded_height").alias("padded_height"))
 
 
-@query("""WITH p AS (SELECT CAST(l_partkey % 1500 + 2 AS INT) AS w, CAST(l_suppkey % 60 + 4 AS INT) AS h FROM lineitem), t AS (SELECT CAST(ceil((greatest(8, round_even(w * 60 / CAST(h AS DOUBLE), 0)) + 32) / 8) * 8 AS INT) AS total FROM p)
-SELECT count(*) AS lines, count(*) FILTER (total > 8192) AS too_wide, CAST(sum(total) FILTER (total <= 8192) AS BIGINT) AS pixels FROM t""")
+@query("""WITH p AS (SELECT DISTINCT CAST(l_partkey % 1500 + 2 AS INT) AS w, CAST(l_suppkey % 60 + 4 AS INT) AS h FROM lineitem), t AS (SELECT w, h, CAST(ceil((greatest(8, round_even(w * 60 / CAST(h AS DOUBLE), 0)) + 32) / 8) * 8 AS INT) AS total FROM p)
+SELECT w, h, CASE WHEN total <= 8192 THEN total END AS total FROM t""")
 def line_sizes(spark, d):
-    """Normalised line widths; a line over the widest is an error."""
-    p = table(spark, d, "lineitem").select(G.line_width((F.col("l_partkey") % 1500 + 2).cast("int"), (F.col("l_suppkey") % 60 + 4).cast("int")).alias("w"))
-    return p.agg(F.count("*").alias("lines"), F.count_if(F.col("w").isNull()).alias("too_wide"), F.sum("w").alias("pixels"))
+    """Normalised line widths; a line over the widest has none."""
+    p = table(spark, d, "lineitem").select((F.col("l_partkey") % 1500 + 2).cast("int").alias("w"), (F.col("l_suppkey") % 60 + 4).cast("int").alias("h")).distinct()
+    return p.select("w", "h", G.line_width(F.col("w"), F.col("h")).alias("total"))
 
 
-@query("""WITH p AS (SELECT CAST(l_partkey % 256 AS BIGINT) AS v, CAST(l_suppkey % 256 AS BIGINT) AS a, l_returnflag FROM lineitem)
-SELECT l_returnflag, CAST(sum((v * 257 * a // 255 + (255 - a) * 257) // 257) AS BIGINT) AS straight, CAST(sum(least(least(v, a) + 255 - a, 255)) AS BIGINT) AS premultiplied FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT DISTINCT CAST(l_partkey % 256 AS BIGINT) AS v, CAST(l_suppkey % 256 AS BIGINT) AS a FROM lineitem)
+SELECT v, a, CAST((v * 257 * a // 255 + (255 - a) * 257) // 257 AS INT) AS straight, CASE WHEN v <= a THEN CAST(v + 255 - a AS INT) END AS premultiplied FROM p""")
 def over_white(spark, d):
-    """Channels composited on white, straight and premultiplied."""
-    v, a = (F.col("l_partkey") % 256).cast("long"), (F.col("l_suppkey") % 256).cast("long")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(G.composited(v, a)).alias("straight"), F.sum(G.composited(F.least(v, a), a, True)).alias("premultiplied"))
+    """Channels composited on white, straight and premultiplied; a premultiplied channel over its alpha is an error, and is
+    left out here."""
+    p = table(spark, d, "lineitem").select((F.col("l_partkey") % 256).cast("long").alias("v"), (F.col("l_suppkey") % 256).cast("long").alias("a")).distinct()
+    v, a = F.col("v"), F.col("a")
+    return p.select("v", "a", G.composited(v, a).alias("straight"), F.when(v <= a, G.composited(v, a, True)).alias("premultiplied"))
 
 
 @query()
@@ -458,28 +476,29 @@ def nearest_cell(spark, d):
 # ---------------------------------------------------------------- evaluation and batches
 
 
-@query("""WITH t AS (SELECT item_id, CAST(item_id % 3 AS VARCHAR) AS corpus, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS expected FROM benchmark), a AS (SELECT corpus, expected, regexp_replace(expected, '[aeiou]', CASE WHEN item_id % 2 = 0 THEN '' ELSE 'u' END, 'g') AS actual FROM t)
+@query("""WITH t AS (SELECT item_id, CAST(item_id % 3 AS VARCHAR) AS corpus, regexp_replace(text, '[^ -~]', '', 'g') AS expected FROM benchmark), a AS (SELECT corpus, expected, regexp_replace(expected, '[aeiou]', CASE WHEN item_id % 2 = 0 THEN '' ELSE 'u' END, 'g') AS actual FROM t)
 SELECT corpus, count(*) AS cases, count(*) FILTER (expected = actual) AS exact_matches, CAST(sum(levenshtein(expected, actual)) AS BIGINT) AS character_errors, CAST(sum(length(expected)) AS BIGINT) AS reference_characters, round(sum(levenshtein(expected, actual)) / greatest(1, sum(length(expected))), 6) AS character_error_rate FROM a GROUP BY corpus""")
 def character_error_rate(spark, d):
-    """Edit distance of recognised to expected text by corpus; text is reduced to ASCII, as the SQL counts bytes. Like the SQL,
-    it takes the first 200 characters of a text only; whole_text_error_rate takes all."""
-    return _error_rate(spark, d, lambda text: F.substring(text, 1, 200))
-
-
-@query()
-def whole_text_error_rate(spark, d):
-    """character_error_rate over whole texts; without SQL."""
-    return _error_rate(spark, d, lambda text: text)
-
-
-def _error_rate(spark, d, part):
-    t = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("corpus"), part(F.regexp_replace("text", "[^ -~]", "")).alias("expected"))
+    """Edit distance of recognised to expected text by corpus, over whole texts; text is reduced to ASCII, as the SQL counts
+    bytes."""
+    t = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).cast("string").alias("corpus"), F.regexp_replace("text", "[^ -~]", "").alias("expected"))
     vowel = F.when(F.col("item_id") % 2 == 0, "").otherwise("u")
     actual = t.select("item_id", F.regexp_replace(F.col("expected"), F.lit("[aeiou]"), vowel).alias("actual"))
     got = evaluate.error_rates(evaluate.cases(t, actual, "item_id"), "corpus")
     return got.withColumn("character_error_rate", r6("character_error_rate"))
 
 
+@query("""WITH t AS (SELECT event_id, event_type AS corpus, CAST(event_id % 97 AS VARCHAR) AS expected, CAST(event_id % 89 AS VARCHAR) AS actual, value AS s FROM events WHERE value IS NOT NULL),
+ r AS (SELECT corpus, count(*) AS cases, count(*) FILTER (expected = actual) AS exact_matches, CAST(sum(levenshtein(expected, actual)) AS BIGINT) AS character_errors, CAST(sum(length(expected)) AS BIGINT) AS reference_characters, round(sum(levenshtein(expected, actual)) / greatest(1, sum(length(expected))), 6) AS character_error_rate, round(median(s), 6) AS median_seconds FROM t GROUP BY GROUPING SETS ((corpus), ()))
+SELECT * FROM r""")
+def evaluation_report(spark, d):
+    """The full report: each corpus and, with a null corpus, all cases, with median seconds."""
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    t = e.select("event_id", F.col("event_type").alias("corpus"), (F.col("event_id") % 97).cast("string").alias("expected"))
+    cases = evaluate.cases(t, e.select("event_id", (F.col("event_id") % 89).cast("string").alias("actual")), "event_id").join(e.select("event_id", F.col("value").alias("elapsed_seconds")), "event_id")
+    return evaluate.report(cases).withColumns({"character_error_rate": r6("character_error_rate"), "median_seconds": r6("median_seconds")})
+
+
 @query("""SELECT event_type, count(*) AS runs, list_sort(list(value))[least(count(*) - 1, CAST(round_even((count(*) - 1) * 0.5e0, 0) AS BIGINT)) + 1] AS p50, list_sort(list(value))[least(count(*) - 1, CAST(round_even((count(*) - 1) * 0.95e0, 0) AS BIGINT)) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def latency_percentiles(spark, d):
     """Percentiles by the report's rule, exact for groups of any size."""
@@ -526,18 +545,140 @@ def manifest_check(spark, d):
     return batch.check_manifest(t.drop("doc_id"), files)
 
 
-@query("""WITH RECURSIVE r AS (SELECT l_orderkey % 500 AS name, l_partkey % 500 AS need FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 500 > l_orderkey % 500 + 60), c AS (SELECT 3 AS name UNION SELECT r.need FROM c JOIN r ON r.name = c.name) SELECT CAST(name AS BIGINT) AS name FROM c""")
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT l_orderkey % 5000 AS name, l_partkey % 5000 AS need FROM lineitem), c AS (SELECT 3 AS name UNION SELECT r.need FROM c JOIN r ON r.name = c.name) SELECT CAST(name AS BIGINT) AS name FROM c""")
 def needed_resources(spark, d):
-    """All that a resource needs, over several steps."""
-    t = table(spark, d, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_partkey") % 500 > F.col("l_orderkey") % 500 + 60))
-    r = t.groupBy((F.col("l_orderkey") % 500).alias("name")).agg(F.collect_set(F.col("l_partkey") % 500).alias("needs"))
+    """All that a resource needs, over any number of steps; every row is an edge."""
+    r = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 5000).alias("name")).agg(F.collect_set(F.col("l_partkey") % 5000).alias("needs"))
     return batch.needed(r, spark.createDataFrame([(3,)], "name long"))
 
 
-@query("""WITH h AS (SELECT level, direction, l_orderkey, l_linenumber, l_partkey FROM lineitem, (VALUES (2), (3), (4)) AS a(level), (VALUES ('horizontal'), ('vertical')) AS b(direction) WHERE l_linenumber = level)
-SELECT level, direction, count(*) AS regions FROM h GROUP BY 1, 2""")
+@query("""SELECT row_number() OVER (ORDER BY event_id) - 1 AS index, event_id, user_id FROM events""")
+def batch_index(spark, d):
+    """Requests numbered in their order."""
+    return batch.indexed(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("index", "event_id", "user_id")
+
+
+@query("""SELECT lower(p_brand) AS path, count(*) AS copies FROM part GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_names(spark, d):
+    """Names that stand more than once."""
+    return batch.duplicates(table(spark, d, "part").select(F.col("p_brand").alias("path")))
+
+
+@query("""WITH h AS (SELECT 2 + l_linenumber % 3 AS level, CASE WHEN l_orderkey % 2 = 0 THEN 'horizontal' ELSE 'vertical' END AS direction FROM lineitem) SELECT level, direction, count(*) AS regions FROM h GROUP BY 1, 2""")
 def detector_heads(spark, d):
-    """The regions of all six detector heads as one table."""
+    """The regions of all six detector heads as one table; every row belongs to a head."""
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    heads = {(n, way): t.where(F.col("l_linenumber") == n) for n, way in detect.HEADS}
+    level, vertical = 2 + F.col("l_linenumber") % 3, F.col("l_orderkey") % 2 == 1
+    heads = {(n, way): t.where((level == n) & (vertical == (way == "vertical"))) for n, way in detect.HEADS}
     return detect.union_heads(heads).groupBy("level", "direction").agg(F.count("*").alias("regions"))
+
+
+# ---------------------------------------------------------------- composed operations
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT vec_id AS page, 40 + vec_id % 50 AS w, 30 + vec_id % 30 AS h, list_transform(embedding, lambda x: CAST({SCORE} AS FLOAT)) AS s FROM embeddings),
+ c AS (SELECT page, w, h, t.cell, CAST(s[t.cell + 1] AS DOUBLE) AS score, (t.cell % 8) * 4 + 1.5e0 AS cx, (t.cell // 8) * 4 + 1.5e0 AS cy FROM e, range(0, 64) AS t(cell) WHERE s[t.cell + 1] >= 0.52),
+ q AS (SELECT page, cell, score, greatest(cx - 9.3e0, 0) AS x, greatest(cy - 9.3e0, 0) AS y, least(cx + 9.3e0, w - 1) AS r, least(cy + 9.3e0, h - 1) AS b FROM c),
+ n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, cell) AS k FROM q WHERE (r - x) * (b - y) >= 12),
+ f AS (SELECT page, k, [{{'x': x, 'y': y, 'r': r, 'b': b, 's': score}}] AS kept FROM n WHERE k = 1
+ UNION ALL SELECT n.page, n.k, CASE WHEN len(list_filter(f.kept, lambda o: greatest(least(o.r, n.r) - greatest(o.x, n.x), 0) * greatest(least(o.b, n.b) - greatest(o.y, n.y), 0)
+  / greatest((o.r - o.x) * (o.b - o.y) + (n.r - n.x) * (n.b - n.y) - greatest(least(o.r, n.r) - greatest(o.x, n.x), 0) * greatest(least(o.b, n.b) - greatest(o.y, n.y), 0), 1e-6) > 0.2)) > 0 THEN f.kept ELSE list_append(f.kept, {{'x': n.x, 'y': n.y, 'r': n.r, 'b': n.b, 's': n.score}}) END
+ FROM f JOIN n ON n.page = f.page AND n.k = f.k + 1)
+SELECT e.page, coalesce(len(f.kept), 0) AS regions, round(list_sum(list_transform(f.kept, lambda o: o.x + 2 * o.y + 3 * (o.r - o.x) + 4 * (o.b - o.y))), 4) AS places, round(list_sum(list_transform(f.kept, lambda o: o.s)), 5) AS score
+FROM e LEFT JOIN (SELECT page, max(k) AS k FROM n GROUP BY 1) m ON m.page = e.page LEFT JOIN f ON f.page = m.page AND f.k = m.k""")
+def detected_regions(spark, d):
+    """Detection as one operation: 8 x 8 score maps to regions that do not overlap. Each cell proposes the square around it."""
+    m = maps(spark, d).select(F.col("vec_id").alias("page"), "scores")
+    corners = [(-0.3, -0.3), (0.3, -0.3), (0.3, 0.3), (-0.3, 0.3)]
+    deltas = F.flatten(F.array(*[F.array_repeat(F.lit(v), 64) for xy in corners for v in xy]))
+    heads = m.select("page", F.lit(2).alias("level"), F.lit("horizontal").alias("direction"), F.lit(8).alias("columns"), F.transform("scores", lambda x: x.cast("float")).alias("scores"), deltas.alias("deltas"), F.array_repeat(F.lit(0.0), 512).alias("links"))
+    pages = m.select("page", (40 + F.col("page") % 50).cast("int").alias("width"), (30 + F.col("page") % 30).cast("int").alias("height"))
+    got = detect.detect(heads, pages, "page", 0.52, {2: 0.5})
+    place = F.aggregate("regions", F.lit(0.0), lambda a, r: a + r["bbox"]["x"] + 2 * r["bbox"]["y"] + 3 * r["bbox"]["width"] + 4 * r["bbox"]["height"])
+    some = F.size("regions") > 0
+    return got.select("page", F.size("regions").cast("long").alias("regions"), F.when(some, F.round(place, 4)).alias("places"), F.when(some, F.round(F.aggregate("regions", F.lit(0.0), lambda a, r: a + r["score"]), 5)).alias("score"))
+
+
+REGIONS = f"""{BOXES}, regions AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY seq, x, y, width, height, score) - 1 AS seq, x, y, width AS w, height AS h, seq % 2 = 1 AS vertical, score FROM boxes)"""
+
+
+def region_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with their upright regions, as detection gives them."""
+    b = boxes(spark, d)
+    quad = G.rect("x", "y", "width", "height")
+    region = F.struct(quad.alias("quad"), G.quad_bounds(quad).alias("bbox"), "score", (F.col("seq") % 2 == 1).alias("vertical"))
+    all_ = F.array_sort(F.collect_list(F.struct("seq", "x", "y", "width", "height", "score", region.alias("region"))))
+    return b.groupBy("page").agg(F.transform(all_, lambda r: r["region"]).alias("regions")).select("page", F.lit(900).alias("width"), F.lit(700).alias("height"), "regions")
+
+
+def stand_in_classifier(df: DataFrame) -> DataFrame:
+    """Script and turn by arithmetic on a region's place."""
+    x, y = F.col("bbox.x").cast("long"), F.col("bbox.y").cast("long")
+    script = F.when(x % 4 == 0, "Latin").when(x % 4 == 1, "CJK").when(x % 4 == 2, "").otherwise("Arabic")
+    return df.withColumns({"script": script, "flip": ((x + y) % 9 - 4) * 0.7})
+
+
+def stand_in_reader(df: DataFrame, reader: str) -> DataFrame:
+    """Text by arithmetic on a region's place: numerals where the classifier names no script, else words."""
+    x, y = F.col("bbox.x").cast("long"), F.col("bbox.y").cast("long")
+    numeral = (x + F.when((F.col(reader) == "CJK") & (y % 3 == 0), 1).otherwise(0)).cast("string")
+    text = F.when(F.col(reader).isNotNull(), F.when(x % 4 == 2, numeral).when(y % 29 == 0, "").otherwise(F.concat(F.lit("t"), x.cast("string"))))
+    return df.withColumns({"text": text, "tokens": F.char_length(text), "log_sum": -(y % 11) * 0.03 * F.char_length(text)})
+
+
+PAGE_SQL = f"""WITH {REGIONS}, c AS (SELECT *, CAST(x AS BIGINT) AS u, CAST(y AS BIGINT) AS v, greatest(w, h) / least(w, h) AS aspect, ((CAST(x AS BIGINT) + CAST(y AS BIGINT)) % 9 - 4) * 0.7e0 AS flip,
+  CASE CAST(x AS BIGINT) % 4 WHEN 0 THEN 'Latin' WHEN 1 THEN 'CJK' WHEN 2 THEN '' ELSE 'Arabic' END AS script, greatest(2, round_even(h, 0)) > greatest(2, round_even(w, 0)) AS tall FROM regions),
+ t AS (SELECT *, aspect <= 2 AS compact, CASE WHEN v % 29 = 0 THEN '' ELSE 't' || u END AS word, exp(-(v % 11) * 0.03e0) AS conf FROM c),
+ one AS (SELECT *, CASE WHEN script IN ('Latin', 'CJK') THEN word ELSE '' END AS text, (CASE WHEN vertical AND tall THEN 1 ELSE 0 END + CASE WHEN flip < 0 THEN 2 ELSE 0 END) % 4 AS quarter FROM t WHERE NOT compact),
+ o AS (SELECT page, sum(wt * cos(quarter * pi() / 2)) AS c, sum(wt * sin(quarter * pi() / 2)) AS s, sum(wt) AS wt FROM (SELECT *, least(20, length(text)) AS wt FROM one WHERE abs(flip) >= 2 AND length(text) >= 3 AND conf >= 0.8) GROUP BY 1),
+ p AS (SELECT page, CASE WHEN sqrt(c * c + s * s) / wt >= 0.9 THEN atan2(s, c) END AS prior FROM o),
+ two AS (SELECT t.*, CASE WHEN script IN ('Latin', 'CJK') THEN word WHEN script = '' AND score >= 0.8 AND conf >= 0.9 AND length(CAST(u AS VARCHAR)) <= 3 AND v % 3 <> 0 THEN CAST(u AS VARCHAR) ELSE '' END AS text,
+  CAST((CASE WHEN prior IS NOT NULL THEN (sign(prior) * floor(abs(prior) / (pi() / 2) + 0.5) + 4) % 4 WHEN vertical AND aspect > 1.5 AND tall THEN 1 ELSE 0 END + CASE WHEN flip <= -2 THEN 2 ELSE 0 END) % 4 AS INT) AS quarter FROM t LEFT JOIN p ON p.page = t.page WHERE compact),
+ r AS (SELECT page, seq, script, word, text, conf, quarter FROM one UNION ALL SELECT page, seq, script, word, text, conf, quarter FROM two)"""
+
+
+@query(PAGE_SQL + """ SELECT page, count(*) FILTER (text <> '' AND conf >= 0.8) AS lines, coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (text <> '' AND conf >= 0.8), '') AS text,
+ round(exp(sum(ln(conf) * length(text)) FILTER (text <> '' AND conf >= 0.8) / sum(length(text)) FILTER (text <> '' AND conf >= 0.8)), 6) AS confidence, coalesce(CAST(sum((360 - 90 * quarter) % 360) FILTER (text <> '' AND conf >= 0.8) AS BIGINT), 0) AS degrees,
+ count(*) FILTER (text <> '' AND conf >= 0.8 AND quarter >= 2) AS rotated, CAST(1 + CAST(count(*) FILTER (text = '' AND script = 'Arabic') > 0 AS INT) + CAST(count(*) FILTER (text <> '' AND conf < 0.8) > 0 AS INT) AS INT) AS warnings FROM r GROUP BY page""")
+def recognised_pages(spark, d):
+    """Recognition of pages as one operation, with stand-in models: two passes, the page's direction, numerals, filter, text."""
+    got = recognise.recognise(region_pages(spark, d), "page", stand_in_classifier, stand_in_reader, ["Latin", "CJK"], reading_order="none", min_line_confidence=0.8)
+    r, total = F.col("result"), lambda f, zero: F.aggregate("result.lines", F.lit(zero), lambda a, x: a + f(x))
+    return got.select(
+        "page", F.size("result.lines").cast("long").alias("lines"), r["text"].alias("text"), r6(r["confidence"]).alias("confidence"), total(lambda x: x["rotation_degrees"], 0).cast("long").alias("degrees"),
+        total(lambda x: x["rotated_180"].cast("int"), 0).cast("long").alias("rotated"), F.size("result.warnings").alias("warnings"),
+    )
+
+
+@query()
+def recognised_in_order(spark, d):
+    """As recognised_pages, without a filter and in reading order, which SQL cannot express."""
+    got = recognise.recognise(region_pages(spark, d), "page", stand_in_classifier, stand_in_reader, ["Latin", "CJK"])
+    return got.select("page", "result.text", r6("result.confidence").alias("confidence"), F.array_join("result.warnings", "|").alias("warnings"))
+
+
+@query(f"""WITH {BOXES}, c AS (SELECT page, seq, CAST(x AS BIGINT) AS u, CAST(y AS BIGINT) AS v, width AS w, height AS h, greatest(width, height) <= 2 * least(width, height) AS compact FROM boxes),
+ t AS (SELECT *, CASE u % 4 WHEN 0 THEN 'Latin' WHEN 1 THEN 'CJK' WHEN 2 THEN '' ELSE 'Arabic' END AS script, ((u + v) % 9 - 4) * 0.7e0 AS flip, exp(-(v % 11) * 0.03e0) AS conf FROM c),
+ r AS (SELECT *, compact AND script = '' AND conf >= 0.9 AND length(CAST(u AS VARCHAR)) <= 3 AND v % 3 <> 0 AS numeral FROM t), s AS (SELECT *, CASE WHEN script IN ('Latin', 'CJK') THEN CASE WHEN v % 29 = 0 THEN '' ELSE 't' || u END WHEN numeral THEN CAST(u AS VARCHAR) ELSE '' END AS text FROM r)
+SELECT page, seq, u AS x, v AS y, CASE WHEN script = 'Arabic' THEN NULL ELSE text END AS text, CASE WHEN script <> 'Arabic' AND text <> '' THEN round(conf, 6) END AS confidence, CASE WHEN script = 'Arabic' THEN NULL WHEN numeral THEN 'Latin' ELSE script END AS script,
+ CASE WHEN script = 'Arabic' THEN NULL ELSE CAST(CASE WHEN flip < 0 AND (NOT compact OR flip <= -2) THEN 180 ELSE 0 END AS INT) END AS degrees, CASE WHEN script = 'Arabic' THEN 'unsupported' END AS error FROM s""")
+def recognised_lines(spark, d):
+    """Recognition of single lines as one operation, with stand-in models."""
+    b = boxes(spark, d).select("page", "seq", F.struct("x", "y").alias("bbox"), "width", "height")
+    got = recognise.recognise_lines(b, stand_in_classifier, stand_in_reader, ["Latin", "CJK"])
+    r = F.col("result")
+    return got.select("page", "seq", F.col("bbox.x").cast("long").alias("x"), F.col("bbox.y").cast("long").alias("y"), r["text"].alias("text"), r6(r["confidence"]).alias("confidence"), r["script"].alias("script"), r["rotation_degrees"].alias("degrees"), F.col("error.code").alias("error"))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'C:\\b\\Model_Edge\\Detector\\' || p_brand || '\\ONNX\\c.onnx' WHEN 1 THEN 'Model_Edge/Character/' || p_brand || '/char2ind.txt' WHEN 2 THEN 'model_edge/AuxMltCls/x/y.onnx' WHEN 3 THEN p_brand || '.onnx' WHEN 4 THEN 'Enums/x/' || p_brand || '.txt' ELSE 'a/b/' || p_brand END AS original, p_brand FROM part),
+ s AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(p_brand, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9._-]+', '_', 'g'), '^[_.-]+|[_.-]+$', '', 'g') AS slug FROM n),
+ l AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9._-]+', '_', 'g'), '^[_.-]+|[_.-]+$', '', 'g') AS low FROM n)
+SELECT s.p_partkey, CASE s.p_partkey % 6 WHEN 0 THEN 'models/detection/' || slug || '.onnx' WHEN 1 THEN 'data/recognition/' || slug || '/alphabet.txt' WHEN 2 THEN 'models/classification/script_orientation.onnx' WHEN 3 THEN 'models/' || slug || '.onnx' WHEN 4 THEN 'data/enums/' || low || '.txt' ELSE 'data/' || slug END AS file FROM s JOIN l ON l.p_partkey = s.p_partkey""".replace("\\\\", "\\"))
+def resource_names(spark, d):
+    """Standard names of a package's resources."""
+    k, brand = F.col("p_partkey") % 6, F.col("p_brand")
+    original = (
+        F.when(k == 0, F.concat(F.lit("C:\\b\\Model_Edge\\Detector\\"), brand, F.lit("\\ONNX\\c.onnx"))).when(k == 1, F.concat(F.lit("Model_Edge/Character/"), brand, F.lit("/char2ind.txt"))).when(k == 2, "model_edge/AuxMltCls/x/y.onnx")
+        .when(k == 3, F.concat(brand, F.lit(".onnx"))).when(k == 4, F.concat(F.lit("Enums/x/"), brand, F.lit(".txt"))).otherwise(F.concat(F.lit("a/b/"), brand))
+    )
+    return table(spark, d, "part").select("p_partkey", X.filename_of(original).alias("file"))

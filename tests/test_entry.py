@@ -64,5 +64,5 @@ def test_error_rate_takes_whole_texts(spark, tmp_path):
         errors = edit_distance(expected, re.sub("[aeiou]", "" if i % 2 == 0 else "u", expected))
         old = want.get(str(i % 3), (0, 0, 0))
         want[str(i % 3)] = (old[0] + 1, old[1] + errors, old[2] + len(expected))
-    got = QUERIES["whole_text_error_rate"](spark, str(tmp_path)).collect()
+    got = QUERIES["character_error_rate"](spark, str(tmp_path)).collect()
     assert {r.corpus: (r.cases, r.character_errors, r.reference_characters) for r in got} == want
