@@ -64,6 +64,19 @@ def class_of(line: str) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(line.encode(), digest_size=16).digest())
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether two lines are equal or one edit apart that is at most MAX_SHARE of the longer one; in linear time, which the
+    JVM's levenshtein() is not, whatever its bound."""
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b:
+        return True
+    if len(b) - len(a) > EDITS or EDITS > len(b) * MAX_SHARE:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
 def chunks(lines: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
     """The lines in lists of at most so many code points, or of one longer line."""
     some, held = [], 0
@@ -277,10 +290,14 @@ def near_lines(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
     ranked = found.repartitionByRange(buckets, order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id())
     met = materialise(pairs(ranked, buckets), "line-pairs")
     a, b = found.select("line", "check", "string", "first"), found.select(F.col("line").alias("earlier"), F.col("string").alias("other"), F.col("first").alias("before"))
-    # levenshtein() with a bound looks at a band of that width only and says -1 beyond it
-    apart, most = F.levenshtein("string", "other", EDITS), F.greatest(F.length("string"), F.length("other")) * MAX_SHARE
-    verified = met.join(a, "line").join(b, "earlier").where((F.col("before") < F.col("first")) & apart.between(0, EDITS) & (apart <= most))
-    gone = materialise(verified.select("line", "check").distinct(), "line-near")
+    later = met.join(a, "line").join(b, "earlier").where(F.col("before") < F.col("first")).select("line", "check", "string", "other")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            good = [one_edit(x, y) for x, y in zip(batch.column("string").to_pylist(), batch.column("other").to_pylist())]
+            yield batch.select(["line", "check"]).filter(pa.array(good, pa.bool_()))
+
+    gone = materialise(later.mapInArrow(verify, "line long, check long").distinct(), "line-near")
     discard(met)
     discard(found)
     return gone
