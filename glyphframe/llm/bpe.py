@@ -58,6 +58,7 @@ class Bpe:
         self.symbols = byte_symbols()
         self.bytes = {c: b for b, c in enumerate(self.symbols)}
         self.seen: dict[str, tuple[int, str, str]] = {}
+        self.runs: dict[str, tuple[int, str, str]] = {}
         library = Tokenizer.from_file(path)
         self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
 
@@ -101,10 +102,20 @@ class Bpe:
             if k % 2:
                 out.append((1, str(self.special[piece]), piece))
                 continue
-            seen, word = self.seen, self.word
-            out.extend([seen.get(w) or word(w) for w in self.words(piece)])
+            runs, run = self.runs, self.run
+            out.extend([runs.get(x) or run(x) for x in piece.replace("\n", " ").split(" ") if x])
         return [p for p in out if p[0]]
 
+    def run(self, run: str) -> tuple[int, str, str]:
+        """As word, for the words between two blanks: neither composition nor a word reaches over a space or a line's end."""
+        parts = [p for p in map(self.word, self.words(run)) if p[0]]
+        got = sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        if len(run) <= LONG:
+            if len(self.runs) >= CACHE:
+                self.runs.clear()
+            self.runs[run] = got
+        return got
+
     def words(self, text: str) -> list[str]:
         if not text or max(text) < PLAIN:
             return self.WORD.findall(unicodedata.normalize("NFC", text).lower())
