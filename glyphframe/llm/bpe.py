@@ -50,7 +50,8 @@ class Bpe:
         self.text = {i: s for s, i in self.vocab.items()}
         self.end = model["end_of_word_suffix"] or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
+        self.pairs = [(a, b, a + b) for a, b in merges]
+        self.ranks = {(a, b): r for r, (a, b, _) in enumerate(self.pairs)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: s for s, i in special.items()}
         self.special = special
@@ -58,40 +59,43 @@ class Bpe:
         self.symbols = byte_symbols()
         self.bytes = {c: b for b, c in enumerate(self.symbols)}
         self.seen: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, tuple[int, str, str]] = {}
         library = Tokenizer.from_file(path)
         self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The merged symbols of one word."""
-        n = len(symbols)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        n, ranks, pairs = len(symbols), self.ranks, self.pairs
+        queue = [r << 32 | i for i, r in enumerate(map(ranks.get, zip(symbols, symbols[1:]))) if r is not None]  # rank, place
         heapq.heapify(queue)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         while queue:
-            _, i, a, b = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, (a, b, both) = entry & 0xFFFFFFFF, pairs[entry >> 32]
             j = right[i]
             if symbols[i] != a or j < 0 or symbols[j] != b:
                 continue  # stale: a neighbour was merged meanwhile
-            symbols[i], symbols[j] = a + b, ""
+            symbols[i], symbols[j] = both, ""
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if (r := self.ranks.get((a + b, symbols[k]))) is not None:
-                    heapq.heappush(queue, (r, i, a + b, symbols[k]))
-            if (h := left[i]) >= 0 and (r := self.ranks.get((symbols[h], a + b))) is not None:
-                heapq.heappush(queue, (r, h, symbols[h], a + b))
+                if (r := ranks.get((both, symbols[k]))) is not None:
+                    heapq.heappush(queue, r << 32 | i)
+            if (h := left[i]) >= 0 and (r := ranks.get((symbols[h], both))) is not None:
+                heapq.heappush(queue, r << 32 | h)
         return [s for s in symbols if s]
 
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of tokens, ids and strings, joined by a space."""
         if (got := self.seen.get(word)) is None:
-            symbols = [self.symbols[b] for b in word.encode("utf-8", "surrogateescape")]
-            symbols[-1] += self.end
-            ids = [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
-            got = len(ids), " ".join(map(str, ids)), " ".join(self.text[i] for i in ids)
+            if (got := self.before.get(word)) is None:
+                symbols = [self.symbols[b] for b in word.encode("utf-8", "surrogateescape")]
+                symbols[-1] += self.end
+                merged = [s for s in self.merge(symbols) if s in self.vocab]
+                got = len(merged), " ".join([str(self.vocab[s]) for s in merged]), " ".join([self.text[self.vocab[s]] for s in merged])
             if len(word) <= LONG:
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
+                if len(self.seen) >= CACHE:  # what no word asks for until the next time is forgotten then
+                    self.before, self.seen = self.seen, {}
                 self.seen[word] = got
         return got
 
@@ -101,7 +105,7 @@ class Bpe:
             if k % 2:
                 out.append((1, str(self.special[piece]), piece))
                 continue
-            seen, word = self.seen, self.word
+            seen, word = self.seen, self.word  # of an older generation after a turn of it, whose words word() finds as well
             out.extend([seen.get(w) or word(w) for w in self.words(piece)])
         return [p for p in out if p[0]]
 
