@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scatter, U, buckets_for, keyed, materialise, mix, slices, unpack
+from .common import Scatter, U, buckets_for, keyed, materialise, mix, release, slices, unpack
 from .components import components
 from .fingerprints import BINS, BITS, bins_of
 
@@ -359,6 +359,7 @@ def similar(distinct: DataFrame, n: int, radius: int, similarity: float) -> Data
     parts = plan(distinct.select("fp"), n, radius)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, fp, tag = unpack(blobs_of(batches), ENTRY)
         order = np.lexsort((tag, key))
         key, fp, tag = key[order], fp[order], tag[order]
@@ -384,6 +385,7 @@ def similar(distinct: DataFrame, n: int, radius: int, similarity: float) -> Data
         yield from out.flush()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, fp, tag, signature = unpack(blobs_of(batches), entry)
         a, b = verified_links(key, fp, tag, signature.view(np.uint8).reshape(-1, BINS // 2), parts, radius, similarity)
         if len(a):

@@ -33,12 +33,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scatter, U, buckets_for, counts_chars, from_planes, materialise, mix, slices, unpack
+from .common import Scatter, U, buckets_for, counts_chars, from_planes, materialise, mix, release, slices, unpack
 
 LENGTH, GRAM, CROWD, LOCAL, OFTEN = 50, 16, 4096, 1024, 4
 SPAN = LENGTH - GRAM + 1  # grams in a window, and windows in a string, at most
 WIDEST = 88  # bytes of the longest string, in whole words of eight
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 1 << 19
+PORTION = 1 << 16  # strings of a bucket whose index is built at a time
 _PIECE = 1 << 22
 _PLACE = U((1 << 24) - 1)
 SEGMENTS, MARKS, WINDOWS, NOTICES = 0, 1, 2, 3  # kinds of blobs
@@ -223,6 +224,18 @@ def grouped(anchor: np.ndarray, doc: np.ndarray, several: int = 2) -> np.ndarray
     return order[np.repeat(many, np.diff(np.append(first, len(order))))]
 
 
+def portions(anchor: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The entries in order of anchor, about size at a time; an anchor's entries are in one portion."""
+    order = np.argsort(anchor, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1]))) if len(order) else order
+    i = 0
+    while i < len(order):
+        k = int(np.searchsorted(heads, i + size))
+        j = int(heads[k]) if k < len(heads) else len(order)
+        yield order[i:j]
+        i = j
+
+
 def string_classes(anchor: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by anchor, bytes and document; whether each entry of it is the first of its string)."""
     word = np.ascontiguousarray(rows).view("<u8")
@@ -393,6 +406,7 @@ def deal(docs: DataFrame, n: int) -> DataFrame:
     """Strings dealt by anchor, and what is marked at once. docs: doc_id, tag, text, no null id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         meeting = Meeting(n, LOCAL, True, OFTEN)
         out = Scatter(SEGMENTS, n, STRING, 32 << 20, meeting.settle, True)
         for b in slices(batches, 64):
@@ -412,6 +426,7 @@ def meet(dealt: DataFrame, n: int, kind: int, windows: bool) -> DataFrame:
     """Marks, and single windows if so wanted, of the blobs of that kind; others pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         meeting, own, noticed, bucket = Meeting(n, CROWD, windows), [], [], 0
         for row in blobs_of(batches):
             bucket = row[1]
@@ -421,8 +436,11 @@ def meet(dealt: DataFrame, n: int, kind: int, windows: bool) -> DataFrame:
                 noticed.append(row[2:])
             else:
                 yield rows_of([row])
-        cols = columns_of(own)
-        meeting.take(np.full(len(cols[0]), bucket, np.int32), cols, unpack(noticed, ["<u4"])[0])
+        cols, crowded = columns_of(own), unpack(noticed, ["<u4"])[0]
+        for part in portions(cols[0], PORTION):
+            meeting.take(np.full(len(part), bucket, np.int32), [c[part] for c in cols], crowded)
+            if windows and meeting.single.full():
+                yield from meeting.flush()
         yield from meeting.flush(True)
 
     return dealt.repartitionById(n, F.col("bucket")).mapInArrow(run, Scatter.SCHEMA)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -381,6 +382,50 @@ def test_suffix_dedup(spark, docs, rows, empty, crowd, monkeypatch):
     assert suffixes.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PORTION", 3)
+    rng = random.Random(9)
+    passages = [prose(rng, 20) for _ in range(6)]
+    data = [(i, " ".join(rng.choice(passages)[rng.randint(0, 30) :] + prose(rng, rng.randint(0, 6)) for _ in range(4))) for i in range(40)]
+    assert sorted((tuple(r) for r in suffixes.digests(frame(spark, data)).collect()), key=str) == brute_spans(data)
+    anchor = np.array([5, 1, 5, 2, 1, 5, 9, 5, 3])
+    assert [anchor[p].tolist() for p in suffixes.portions(anchor, 3)] == [[1, 1, 2], [3, 5, 5, 5, 5], [9]]
+
+
+def test_suffix_bucket_memory(spark):
+    """A bucket's strings are held once; what its index takes beside them does not grow with them."""
+
+    class Dealt:
+        def repartitionById(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    n, rng = 400_000, np.random.default_rng(3)
+    out = Scatter(suffixes.SEGMENTS, 1, suffixes.STRING, 1 << 30, None, True)
+    rows = np.zeros((n, suffixes.WIDEST), np.uint8)
+    rows[:, :67] = rng.integers(97, 123, (n, 67))
+    rows[1::2] = rows[::2]  # the odd documents repeat the even ones
+    for i in range(0, n, 50_000):
+        part = np.arange(i, i + 50_000)
+        out.add(np.zeros(len(part), np.int32), part // 4, part, np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.full(len(part), 18), rows[part].view(f"V{suffixes.WIDEST}")[:, 0])
+    batches = list(out.flush())
+    task = suffixes.meet(Dealt(), 1, suffixes.SEGMENTS, True)
+    tracemalloc.start()
+    try:
+        found = [r for b in task.run(iter(batches)) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    cols = unpack([(r["n"], r["blob"]) for r in found], suffixes.MARK)
+    assert sorted(cols[0].tolist()) == list(range(1, n, 2)) and (cols[3] == 67).all()
+    # decompressed, and once more while a blob is opened; 96 MB for a portion and the index of a shard
+    size = n * sum(np.dtype(d).itemsize for d in suffixes.STRING)
+    assert peak < 2 * size + (96 << 20)
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
 def test_run_length_index_streams_matches(letters):
     rng = random.Random(9)
